@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelark.llm import simhash
+from framelark.llm import hilbert, packing, preference, simhash
 from framelark.llm._spark import table, tune
 
 
@@ -21,8 +21,40 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tune(spark)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packed = packing.pack(table(spark, sf_dir, "documents"), path, capacity=2048, end_id=0)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = hilbert.shard(table(spark, sf_dir, "documents"), shards=8, bits=5)
+    return dealt.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        F.col("h").alias("curve_index"),
+    )
+
+
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    pair = F.expr("cast(floor(conv_id / 2) as bigint)")
+    return preference.preferences(turns, pair, F.expr("pmod(conv_id, 2) = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op8_hilbert_shards": op8_hilbert_shards,
+    "op9_preference_format": op9_preference_format,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_preference_format": preference.SQL}
