@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelark.llm import hilbert, packing, preference, simhash
+from framelark.llm import hilbert, packing, preference, simhash, suffix_dedup
 from framelark.llm._spark import table, tune
 
 
@@ -50,11 +50,18 @@ def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preferences(turns, pair, F.expr("pmod(conv_id, 2) = 0"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    found = suffix_dedup.summary(table(spark, sf_dir, "documents"), width=100)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_preference_format": op9_preference_format,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 SQL: dict[str, str] = {"op9_preference_format": preference.SQL}
