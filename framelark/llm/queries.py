@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelark.llm import hilbert, packing, preference, simhash, suffix_dedup
+from framelark.llm import decontam, hilbert, langid, packing, preference, simhash, suffix_dedup, toxicity
 from framelark.llm._spark import table, tune
 
 
+def remainder(key: Column, by: int) -> Column:
+    return F.crc32(key.cast("string").cast("binary")) % by
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4, blocks=6)
@@ -21,6 +25,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    found = langid.identify(
+        table(spark, sf_dir, "documents"),
+        usable=lambda key: remainder(key, 5) != 0,
+        held_out=lambda key: F.coalesce(remainder(key, 5) == 0, F.lit(False)),
+    )
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +44,23 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    found = toxicity.classify(
+        table(spark, sf_dir, "documents"),
+        table(spark, sf_dir, "labels"),
+        usable=lambda key: remainder(key, 3) != 1,
+        held_out=lambda key: F.coalesce(remainder(key, 3) == 1, F.lit(False)),
+    )
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.contained(docs, items, words=5, threshold=0.8).withColumnRenamed("id", "doc_id")
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = hilbert.shard(table(spark, sf_dir, "documents"), shards=8, bits=5)
     return dealt.select(
@@ -58,7 +89,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_preference_format": op9_preference_format,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
