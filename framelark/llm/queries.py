@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelark.llm import decontam, hilbert, langid, packing, preference, simhash, suffix_dedup, toxicity
+from framelark.llm import ann, decontam, hilbert, langid, packing, preference, simhash, suffix_dedup, toxicity
 from framelark.llm._spark import table, tune
 
 
@@ -55,6 +55,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op6_learned_partition_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, lambda key: F.pmod(key, F.lit(100)) == 0, k=10, parts=16, probes=13, sample=4096)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_learned_partition_ann": op6_learned_partition_ann,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_preference_format": op9_preference_format,

@@ -143,9 +143,14 @@ def learn(rows: DataFrame, size: int = 2000) -> Lexicon:
     for pattern in sorted(good, key=lambda p: (p.endswith(" "), len(p), p)):
         stem = pattern.rstrip(" ")
         weight, c, t = good[pattern]
-        shorter = [weights[stem[:n]] for n in range(SHORTEST + 1, len(stem) + 1) if stem[:n] in weights]
-        if c <= 0.05 * t and not (shorter and max(shorter) >= weight - 1.5):
-            weights[pattern] = weight
+        if c > 0.05 * t:
+            continue
+        shorter = [stem[:n] for n in range(SHORTEST + 1, len(stem) + 1) if stem[:n] in weights]
+        if shorter and t >= 0.95 * good[shorter[-1]][2]:  # the same words, named more closely
+            del weights[shorter[-1]]
+        elif shorter and weights[shorter[-1]] >= weight - 1.5:
+            continue
+        weights[pattern] = weight
     ranked = sorted(weights, key=lambda p: (-weights[p], p))[:size]
     lexicon = Lexicon({p: weights[p] for p in ranked})
     lexicon.weights |= exceptions(rows, lexicon)
