@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelark.llm import ann, decontam, hilbert, langid, packing, preference, simhash, suffix_dedup, toxicity
+from framelark.llm import ann, decontam, hilbert, html_crf, langid, packing, preference, simhash, suffix_dedup, toxicity
 from framelark.llm._spark import table, tune
 
 
@@ -25,6 +25,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return html_crf.extracted(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     found = langid.identify(
@@ -94,6 +99,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_html_main_text": op2_html_main_text,
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_toxicity": op5_toxicity,
