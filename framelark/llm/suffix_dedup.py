@@ -39,6 +39,8 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 CHUNK, FLUSH = 1 << 21, 1_200_000
 #: Anchors of one bucket, stretches of one block, and stretches of one anchor in a block.
 BUCKET, BLOCK, HOT = 400_000, 30_000, 20_000
+#: Tasks that the anchors of one hash are dealt to when they are joined.
+SALTS = 64
 LAST = 2**63 - 1
 
 
@@ -492,8 +494,10 @@ def marked(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col:
     packed = packed.repartition("bucket").sortWithinPartitions("bucket")
     found = staged(packed.mapInArrow(_repeated, "hash bigint, id bigint, tie bigint, pos int"))
     frequent = found.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    frequent = frequent.select("hash", F.ceil(F.col("n") / HOT).cast("int").alias("m"))
-    sized = found.join(frequent, "hash", "left").withColumn("cells", F.coalesce("m", F.lit(1)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")  # of a few hashes
+    frequent = frequent.select("hash", F.ceil(F.col("n") / HOT).cast("int").alias("m"), every)
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int"))
+    sized = salted.join(frequent, ["hash", "salt"], "left").withColumn("cells", F.coalesce("m", F.lit(1)))
     lists = sized.groupBy("id", "tie").agg(F.collect_list(F.struct("pos", "hash", "cells")).alias("found"))
     lists = lists.join(copies, ["id", "tie"], "left_anti")
     taken = pool.join(lists.hint("shuffle_hash"), ["id", "tie"])
