@@ -41,7 +41,8 @@ def segment_points(segments: DataFrame, band: int, edge: int, width: int, height
     """``(f, x, y)``: points along segments, ``band`` apart, that are off the edge."""
     length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
     n = F.greatest(F.lit(2), F.floor(length / max(1, band)).cast("int"))
-    dots = segments.withColumn("n", n).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n"))) / F.col("n"))
+    dots = segments.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    dots = dots.withColumn("t", F.col("k") / F.col("n"))
     at = lambda a, b: (F.col(a) + F.col("t") * (F.col(b) - F.col(a))).cast("int")
     x, y = F.col("x"), F.col("y")
     inside = (x > edge) & (x < width - edge) & (y > edge) & (y < height - edge)

@@ -13,7 +13,7 @@ IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "tif", "tiff")
 
 def images(files: DataFrame, ext: str = "ext") -> DataFrame:
     """Files whose suffix, whatever its case, is that of an image."""
-    return files.where(F.lower(F.ltrim(F.lit("."), F.col(ext))).isin(*IMAGE_SUFFIXES))
+    return files.where(F.lower(F.ltrim(F.col(ext), F.lit("."))).isin(*IMAGE_SUFFIXES))
 
 
 def indexed(files: DataFrame, order: Sequence[str], sequence: Sequence[str] = ()) -> DataFrame:
@@ -23,7 +23,7 @@ def indexed(files: DataFrame, order: Sequence[str], sequence: Sequence[str] = ()
     each is ranked by itself, in parallel.  Without them all files are one.
     """
     keys = [F.col(c) for c in sequence] or [F.lit(0)]
-    return files.withColumn("frame_idx", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    return files.withColumn("frame_idx", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint"))
 
 
 def prefer_tiff(files: DataFrame, order: Sequence[str] = ("path",), stem: str = "stem", ext: str = "ext") -> DataFrame:

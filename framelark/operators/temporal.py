@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from framelark.operators.pixels import box_median, inside_ring_mean, over_frames, ring_mean
 
-HERE = Window.partitionBy("y", "x").orderBy("f")
+
+def _here():
+    return Window.partitionBy("y", "x").orderBy("f")
 
 
 def clean_sky(px: DataFrame, percent: float = 50, value: str = "v") -> DataFrame:
@@ -36,7 +38,7 @@ def neighbour_difference(px: DataFrame, value: str = "v") -> DataFrame:
     A frame at either end of the sequence is compared with the one it has;
     a lone frame has none and gets null.
     """
-    d = F.least(F.col(value) - F.lag(value).over(HERE), F.col(value) - F.lead(value).over(HERE))
+    d = F.least(F.col(value) - F.lag(value).over(_here()), F.col(value) - F.lead(value).over(_here()))
     return px.withColumn("d", F.when(d.isNotNull(), F.greatest(d, F.lit(0))))
 
 
@@ -46,7 +48,7 @@ def repaired_by_average(px: DataFrame, mask: DataFrame) -> DataFrame:
     With one neighbour it is copied; with none the sample stays.  Neighbours'
     own masks are not looked at.
     """
-    p, n = F.lag("v").over(HERE), F.lead("v").over(HERE)
+    p, n = F.lag("v").over(_here()), F.lead("v").over(_here())
     both = px.withColumn("_p", p).withColumn("_n", n).join(mask, ["f", "y", "x"], "left_semi")
     mean = F.floor((F.col("_p") + F.col("_n")) / 2).cast("int")
     return both.withColumn("repaired", F.coalesce(mean, "_p", "_n", "v")).drop("_p", "_n")
@@ -177,5 +179,5 @@ def with_gain(px: DataFrame, gain: DataFrame) -> DataFrame:
 
 def wide_median(px: DataFrame, half: int) -> DataFrame:
     """``px`` with ``m``: the truncated median over the ``half`` frames either side."""
-    w = HERE.rowsBetween(-half, half)
+    w = _here().rowsBetween(-half, half)
     return px.withColumn("m", F.floor(F.expr("percentile(v, 0.5)").over(w)).cast("int"))
