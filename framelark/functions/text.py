@@ -32,7 +32,7 @@ def display_name(version: Column) -> Column:
 
 def release_notes(body: Column) -> Column:
     """``struct(summary, credits)``: the first line with text, the first credits line."""
-    lines = F.filter(F.transform(F.split(body, r"\R"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(body, r"\R"), lambda x: F.trim(x)), lambda x: x != "")
     credit = F.filter(lines, lambda x: F.lower(x).startswith("credits:"))
     return F.struct(
         F.get(lines, F.lit(0)).alias("summary"),
