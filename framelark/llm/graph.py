@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from framelark.llm._spark import staged
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Label every node of ``edges(a, b)`` with its component: ``(node, label)``.
 
-    Each round hooks a node to the smallest of its neighbours and jumps one
-    pointer, then replaces the edges by those between the new labels.  An edge
-    ``(u, parent(u))`` becomes an edge between the labels of both, so no link is
-    lost while the graph shrinks.  Minima are pre-aggregated on the map side,
-    so a hub costs one row per task.  Nulls and self-loops are ignored; an
-    empty table gives an empty result.
+    Each round hooks a node to the smallest of its neighbours and follows the
+    pointers to their roots, doubling the steps, then replaces the edges by
+    those between the roots: at least half of the linked nodes are gone after
+    it.  Minima are pre-aggregated on the map side, so a hub costs one row per
+    task.  Nulls and self-loops are ignored; an empty table gives an empty
+    result.
     """
 
     def canonical(df: DataFrame) -> DataFrame:
@@ -34,9 +34,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return labels
         both = live.union(live.select("b", "a"))
         parent = both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("m"))
-        parent = parent.select("x", F.least("x", "m").alias("p"))
-        grand = parent.select(F.col("x").alias("p"), F.col("p").alias("g"))
-        jump = staged(parent.join(grand, "p").select("x", F.col("g").alias("to")))
+        jump = staged(parent.select("x", F.least("x", "m").alias("to")))
+        while True:
+            ahead = jump.select(F.col("x").alias("to"), F.col("to").alias("next"))
+            jump = staged(jump.join(ahead, "to").select("x", F.col("next").alias("to"), (F.col("to") != F.col("next")).alias("moved")))
+            done = jump.where("moved").isEmpty()
+            jump = jump.drop("moved")
+            if done:
+                break
         left = jump.select(F.col("x").alias("a"), F.col("to").alias("ta"))
         right = jump.select(F.col("x").alias("b"), F.col("to").alias("tb"))
         moved = live.join(left, "a").join(right, "b")

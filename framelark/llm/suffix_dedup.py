@@ -381,6 +381,8 @@ def repeats(spans: list[bytes], ids, ties, lows, cells, width: int):
     best = np.zeros(len(texts), dtype=np.int64)
     best[code[by[head]]] = by[head]
     copies = by[~head]
+    other = best[code[copies]]  # but a repeated row is the same document
+    copies = copies[(ids[copies] != ids[other]) | (ties[copies] != ties[other]) | (lows[copies] != lows[other])]
     size = np.array([len(s) for s in spans], dtype=np.int64)
     marks = [(copies, lows[copies], lows[copies] + size[copies])]
 

@@ -78,7 +78,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Lexicon:
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=dict)  # below zero: a phrase that cancels what it holds
     bias: tuple[float, float, float] = (-8.0, 0.0, 0.0)
 
     def automaton(self):
@@ -93,8 +93,9 @@ class Lexicon:
 
     def features(self, text: str | None, automaton) -> tuple[float, float]:
         folded = fold(text)
-        total = sum(w for _, (_, w) in automaton.iter(folded)) if self.weights else 0.0
-        total = max(total, 0.0)
+        found = [(end - len(p) + 1, end, w) for end, (p, w) in automaton.iter(folded)] if self.weights else []
+        spared = [(lo, hi) for lo, hi, w in found if w < 0]
+        total = sum(w for lo, hi, w in found if w > 0 and not any(a <= lo and hi <= b for a, b in spared))
         return float(np.log1p(total)), float(np.log1p(100 * total / (folded.count(" ") + 10)))
 
     def scores(self, texts) -> np.ndarray:
@@ -189,9 +190,8 @@ def exceptions(rows: DataFrame, lexicon: Lexicon, size: int = 2000) -> dict[str,
     learned = {r["phrase"]: -r["weight"] for r in near.orderBy(F.desc("n"), "phrase").limit(size).collect()}
     fixed = {f" {fold(e).strip()} ": e for e in EXCEPTIONS}
     for phrase in fixed:
-        hit = sum(w for p, w in lexicon.weights.items() if p in phrase)
-        if hit > 0:
-            learned.setdefault(phrase, -hit)
+        if any(p in phrase for p in lexicon.weights):
+            learned.setdefault(phrase, -1.0)
     return learned
 
 
