@@ -30,15 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelark.llm._spark import groups_of, staged
+from framelark.llm._spark import groups_of, release, staged
 
 GRAM = 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes whose anchors are found at once, and anchors sent at once.
-CHUNK, FLUSH = 1 << 21, 1_200_000
+CHUNK, FLUSH = 1 << 20, 600_000
 #: Anchors of one bucket, stretches of one block, and stretches of one anchor in a block.
-BUCKET, BLOCK, HOT = 400_000, 30_000, 20_000
+BUCKET, BLOCK, HOT = 200_000, 12_000, 10_000
 #: Tasks that the anchors of one hash are dealt to when they are joined.
 SALTS = 64
 LAST = 2**63 - 1
@@ -283,6 +283,7 @@ def _find_anchors(width: int, buckets: int):
                 add(raws, ids, ties)
             if count >= FLUSH:
                 yield flush()
+                release()
         if count:
             yield flush()
 
@@ -449,6 +450,7 @@ def _blocks(width: int):
                 ],
                 ["id", "tie", "start", "end", "h1", "h2", "sure"],
             )
+            release()
 
     return run
 
