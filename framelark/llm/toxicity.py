@@ -34,6 +34,8 @@ SIGNS = re.compile(r"[@$|€](?=\w)")
 PARTS = re.compile(r"[\W_]+")
 #: Lengths of the word beginnings that may enter the lexicon.
 SHORTEST, LONGEST = 3, 8
+#: Clean rows for each toxic one that a pattern may have, and a word before its exceptions count.
+RARELY, OFTEN = 0.05, 0.5
 #: Phrases that cancel a match whatever the labels say.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "circus clown")
 
@@ -91,11 +93,15 @@ class Lexicon:
             found.make_automaton()
         return found
 
+    def matches(self, folded: str, automaton) -> list[tuple[str, float]]:
+        """The patterns found, with their weights, outside all exception phrases."""
+        found = [(end - len(p) + 1, end, p, w) for end, (p, w) in automaton.iter(folded)] if self.weights else []
+        spared = [(lo, hi) for lo, hi, _, w in found if w < 0]
+        return [(p, w) for lo, hi, p, w in found if w > 0 and not any(a <= lo and hi <= b for a, b in spared)]
+
     def features(self, text: str | None, automaton) -> tuple[float, float]:
         folded = fold(text)
-        found = [(end - len(p) + 1, end, w) for end, (p, w) in automaton.iter(folded)] if self.weights else []
-        spared = [(lo, hi) for lo, hi, w in found if w < 0]
-        total = sum(w for lo, hi, w in found if w > 0 and not any(a <= lo and hi <= b for a, b in spared))
+        total = sum(w for _, w in self.matches(folded, automaton))
         return float(np.log1p(total)), float(np.log1p(100 * total / (folded.count(" ") + 10)))
 
     def scores(self, texts) -> np.ndarray:
@@ -141,10 +147,13 @@ def learn(rows: DataFrame, size: int = 2000) -> Lexicon:
         if 2 * sum(o * np.log(o / e) for o, e in cells if o > 0 and e > 0) >= need:
             good[pattern] = (float(np.log((t + 0.5) / (toxic + 1) / ((c + 0.5) / (clean + 1)))), c, t)
     weights: dict[str, float] = {}
+    doubtful: dict[str, float] = {}  # words that clean rows use too: kept if exceptions explain that
     for pattern in sorted(good, key=lambda p: (p.endswith(" "), len(p), p)):
         stem = pattern.rstrip(" ")
         weight, c, t = good[pattern]
-        if c > 0.05 * t:
+        if c > RARELY * t:
+            if pattern.endswith(" ") and c <= OFTEN * t:
+                doubtful[pattern] = weight
             continue
         shorter = [stem[:n] for n in range(SHORTEST + 1, len(stem) + 1) if stem[:n] in weights]
         if shorter and t >= 0.95 * good[shorter[-1]][2]:  # the same words, named more closely
@@ -154,7 +163,15 @@ def learn(rows: DataFrame, size: int = 2000) -> Lexicon:
         weights[pattern] = weight
     ranked = sorted(weights, key=lambda p: (-weights[p], p))[:size]
     lexicon = Lexicon({p: weights[p] for p in ranked})
-    lexicon.weights |= exceptions(rows, lexicon)
+    tried = Lexicon(lexicon.weights | doubtful)
+    tried.weights |= exceptions(rows, tried)
+    if doubtful:
+        for pattern, c, t in kept_matches(rows, tried):
+            if c <= RARELY * t:
+                doubtful.pop(pattern, None)
+        for pattern in doubtful:
+            del tried.weights[pattern]
+    lexicon = tried
 
     @F.pandas_udf("array<double>")
     def features(text: pd.Series) -> pd.Series:
@@ -166,6 +183,18 @@ def learn(rows: DataFrame, size: int = 2000) -> Lexicon:
     return lexicon
 
 
+def kept_matches(rows: DataFrame, lexicon: Lexicon) -> list[tuple[str, int, int]]:
+    """(pattern, clean rows, toxic rows) with a match that no exception cancels."""
+
+    @F.pandas_udf("array<string>")
+    def found(text: pd.Series) -> pd.Series:
+        machine = lexicon.automaton()
+        return pd.Series([sorted({p for p, _ in lexicon.matches(fold(t), machine)}) for t in text], dtype=object)
+
+    hits = rows.select("toxic", F.explode(found("text")).alias("p")).groupBy("p")
+    return [tuple(r) for r in hits.agg(F.sum(1 - F.col("toxic")), F.sum("toxic")).collect()]  # of one lexicon
+
+
 def exceptions(rows: DataFrame, lexicon: Lexicon, size: int = 2000) -> dict[str, float]:
     """Two-word phrases around matches that clean rows use and toxic ones hardly do."""
 
