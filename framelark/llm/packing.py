@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from framelark.llm._spark import staged
 
 #: Words whose ids a worker remembers before it starts anew.
-MEMORY = 250_000
+MEMORY = 150_000
 #: Letters that no normalisation joins or splits.
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 SPACE = re.compile(r"[ \t-\r]+")
