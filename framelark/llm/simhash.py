@@ -332,25 +332,27 @@ def near_duplicates(
 def representatives(
     docs: DataFrame,
     words: int = 5,
-    radius: int = 10,
-    blocks: int = 12,
     id_col: str = "doc_id",
     text_col: str = "text",
-    similarity: float | None = 0.78,
+    similarity: float = 0.8,
 ) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each near-duplicate group does.
 
+    A group is linked by at least ``similarity`` of the shingles in common, found
+    exactly (see ``jaccard``) as fingerprints of 64 bits cannot tell 0.8 from less.
     Of a group the document of the smallest id stays; a null id counts as the
     largest, and different texts of one id are ordered by their hash.  Rows that
     repeat id and text are copies too: one of them stays, whatever its other
     columns hold.
     """
+    from framelark.llm import jaccard
+
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.struct(
         F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.sha2(text.cast("binary"), 256).alias("sha")
     )
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"), text.alias("text"))
-    found = near_duplicates(rows, words, radius, blocks, "key", "text", similarity).where(F.col("id") == F.col("component"))
+    found = jaccard.near_duplicates(rows, words, similarity, "key", "text").where(F.col("id") == F.col("component"))
     counted = staged(found.groupBy(F.col("id").alias("k")).agg(F.count("*").alias("n")))
     same = (F.col("key.sha") == F.col("k.sha")) & F.col("key.id").eqNullSafe(F.col("k.id"))
     stay = rows.join(counted.select("k"), same, "left_semi")
