@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
@@ -22,10 +23,14 @@ from pyspark.sql import functions as F
 
 from framelark.llm._spark import staged
 
-#: Words whose ids a worker remembers before it starts anew.
-MEMORY = 150_000
-#: Letters that no normalisation joins or splits.
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Words whose ids a worker remembers: so many of late, and as many from before.
+MEMORY = 250_000
+#: What no normalisation joins or splits: Latin letters and common signs (no combining marks).
+ODD = re.compile("[^\x00-\xff\u2010-\u2027\u2030-\u205e]")
+SEPARATORS = re.compile("[\x1c-\x1f]")
+LETTERS = re.compile("[a-zà-öø-ÿ]+")
+#: Signs behind a word, without the apostrophe: they are a token run of their own.
+TAIL = re.compile(r"([!-&(-/:-@\[-`{-~])(?<=[a-zà-öø-ÿ][!-&(-/:-@\[-`{-~])([!-&(-/:-@\[-`{-~]*)(?!\S)")
 SPACE = re.compile(r"[ \t-\r]+")
 
 
@@ -33,7 +38,8 @@ class WordIds(dict):
     """Token ids of a white-space-free chunk as little-endian bytes.
 
     The tokenizer drops white space and never joins characters across it, so a
-    text's ids are the ids of its chunks in order.
+    text's ids are the ids of its chunks in order.  The memory has two
+    generations: a full one becomes the old one, of which words in use return.
     """
 
     def __init__(self, path: str):
@@ -41,6 +47,7 @@ class WordIds(dict):
 
         whole = Tokenizer.from_file(path)
         self.encode, self.merge = whole.encode, whole.model.tokenize
+        self.old: dict[str, bytes] = {}
         # the printable stand-ins of single bytes, as the byte-level step writes them
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
@@ -48,31 +55,29 @@ class WordIds(dict):
         self.stand_in = [stand_in[b] for b in range(256)]
 
     def __missing__(self, word: str) -> bytes:
-        if not word:
-            return b""
-        if LETTERS.fullmatch(word):  # one token run, and its own normal form but for case
-            lower = word.lower()
-            if lower != word:
-                ids = self[lower]
-            else:
+        ids = self.old.get(word)
+        if ids is None:
+            if LETTERS.fullmatch(word):  # one token run, and its own normal form
                 raw = word if word.isascii() else "".join(map(self.stand_in.__getitem__, word.encode()))
-                ids = np.array([t.id for t in self.merge(raw)], "<u4").tobytes()
-        elif word[-1] in ".,!?" and LETTERS.fullmatch(word, 0, len(word) - 1):
-            ids = self[word[:-1]] + self[word[-1]]
-        else:
-            ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 40:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[word] = ids
+                found = [t.id for t in self.merge(raw)]
+            else:
+                found = self.encode(word, add_special_tokens=False).ids if word else []
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(word) > 40:
+                return ids
+        if len(self) >= MEMORY:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
     def text(self, text: str | None) -> bytes:
         if not text:
             return b""
-        # str.split also cuts at these four, which are no white space to the tokenizer
-        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        return b"".join(map(self.__getitem__, SPACE.split(text) if odd else text.split()))
+        if "<|" not in text and (text.isascii() or not ODD.search(text)):  # no special token either
+            text = TAIL.sub(r" \1\2", text.lower())
+        # str.split also cuts at the separators, which are no white space to the tokenizer
+        return b"".join(map(self.__getitem__, SPACE.split(text) if SEPARATORS.search(text) else text.split()))
 
 
 @functools.cache

@@ -23,6 +23,15 @@ def by_one(lengths, capacity):
     return sorted(rooms)
 
 
+def test_random_texts_in_a_small_memory(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 50)
+    whole, words, r = Tokenizer.from_file(PATH), packing.WordIds(PATH), random.Random(2)
+    signs = "abXYéÈßÿ'’“—.,!$%*()-_<|>\"01 \t\n\x0b\x1c\x85\xa0\u3000\u0301µﬁ中😀İΣς\x00"
+    for _ in range(3000):
+        t = "".join(r.choice(signs) for _ in range(r.randint(0, 40)))
+        assert words.text(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
 @pytest.mark.parametrize("seed", range(60))
 def test_plan_equals_best_fit_decreasing_one_by_one(seed):
     r = random.Random(seed)
@@ -46,7 +55,7 @@ def test_plan_equals_best_fit_decreasing_one_by_one(seed):
 
 
 ODD = ["Don't stop.THE<|endoftext|>x <|startoftext|> ABC", "İstanbul ΟΔΟΣ Σ", "é é ﬁ", "a b c\u0085d​e\x1cf",
-       "x.,", "", " \n", "ab12,cd!", "日本語", "IT'S RE're'll", "﻿abc", "Ó, K.", "a" * 300, None]
+       "x.,", "Uh... so*** what's.' <|ENDOFTEXT|> that)) (it,) “Él” — él.", "", " \n", "ab12,cd!", "日本語", "IT'S RE're'll", "﻿abc", "Ó, K.", "a" * 300, None]
 
 
 def test_word_memory_equals_the_tokenizer(spark, data):
