@@ -32,6 +32,8 @@ LETTERS = re.compile("[a-zà-öø-ÿ]+")
 #: Signs behind a word, without the apostrophe: they are a token run of their own.
 TAIL = re.compile(r"([!-&(-/:-@\[-`{-~])(?<=[a-zà-öø-ÿ][!-&(-/:-@\[-`{-~])([!-&(-/:-@\[-`{-~]*)(?!\S)")
 SPACE = re.compile(r"[ \t-\r]+")
+#: Bytes of token ids that a task sends at once.
+SENT = 1 << 23
 
 
 class WordIds(dict):
@@ -87,12 +89,13 @@ def word_ids(path: str) -> WordIds:
 
 
 def pieces(
-    docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str
+    docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str, keep_ids: bool = False
 ) -> DataFrame:
     """Cut every document into pieces: ``(id, piece, start, length, ids_crc32, task, rank)``.
 
     A document is its ids and ``end_id``; only one longer than ``capacity`` is
-    cut.  ``rank`` counts the pieces of equal length within one task.
+    cut.  ``rank`` counts the pieces of equal length within one task; with
+    ``keep_ids`` the pieces carry their ``ids``.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -101,38 +104,41 @@ def pieces(
         task = TaskContext.get().partitionId()
         seen: Counter = Counter()
         tail = np.array([end_id], "<u4").tobytes()
+
+        def sent(ids: pa.Array, rows: list[tuple], parts: list[bytes]) -> pa.RecordBatch:
+            at, piece, start, length, crc, rank = zip(*rows, strict=True)
+            cols = [ids.take(pa.array(at, pa.int64())), pa.array(piece, pa.int32())]
+            cols += [pa.array(c, pa.int64()) for c in (start, length, crc)]
+            cols += [pa.array([task] * len(at), pa.int32()), pa.array(rank, pa.int64())]
+            names = ["id", "piece", "start", "length", "ids_crc32", "task", "rank"]
+            if keep_ids:
+                values = np.frombuffer(b"".join(parts), "<i4")
+                ends = np.cumsum([0, *length]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
+                names.append("ids")
+            return pa.RecordBatch.from_arrays(cols, names)
+
         for batch in batches:
-            at, piece, start, length, crc, rank = ([] for _ in range(6))
+            rows, parts, size = [], [], 0
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = known.text(text) + tail
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k : k + 4 * capacity]
                     n = len(part) // 4
-                    at.append(i)
-                    piece.append(k // (4 * capacity))
-                    start.append(k // 4)
-                    length.append(n)
-                    crc.append(zlib.crc32(part))
-                    rank.append(seen[n])
+                    rows.append((i, k // (4 * capacity), k // 4, n, zlib.crc32(part), seen[n]))
                     seen[n] += 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(at, pa.int64())),
-                    pa.array(piece, pa.int32()),
-                    pa.array(start, pa.int64()),
-                    pa.array(length, pa.int64()),
-                    pa.array(crc, pa.int64()),
-                    pa.array([task] * len(at), pa.int32()),
-                    pa.array(rank, pa.int64()),
-                ],
-                ["id", "piece", "start", "length", "ids_crc32", "task", "rank"],
-            )
+                    if keep_ids:
+                        parts.append(part)
+                        size += len(part)
+                if size >= SENT:
+                    yield sent(batch.column(0), rows, parts)
+                    rows, parts, size = [], [], 0
+            if rows:
+                yield sent(batch.column(0), rows, parts)
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(
-        run,
-        f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint",
-    )
+    shape = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint"
+    return source.mapInArrow(run, shape + ", ids array<int>" * keep_ids)
 
 
 class OpenBins:
@@ -219,18 +225,21 @@ def pack(
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep_ids: bool = True,
 ) -> DataFrame:
     """Pack all documents into few sequences of at most ``capacity`` tokens.
 
-    Returns ``(id, piece, start, length, ids_crc32, sequence_id, offset)``, one
-    row per piece.  A null or empty text is its end id alone; null ids and
+    Returns ``(id, piece, start, length, ids_crc32, sequence_id, offset, ids)``,
+    one row per piece: ``ids`` are its tokens, which ``keep_ids=False`` leaves
+    out.  A null or empty text is its end id alone; null ids and
     repeated rows are packed like any other row; an empty table gives an empty
     result.  A full piece is a sequence of its own, with a negative number.
     Only the histogram (at most ``capacity`` rows) and the plan it gives, whose
-    size depends on the capacity alone, pass the driver.
+    size depends on the capacity alone, pass the driver.  Only the columns named
+    above are used and returned, so others can't clash.
     """
     spark = docs.sparkSession
-    cut = staged(pieces(docs, tokenizer, capacity, end_id, id_col, text_col))
+    cut = staged(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, keep_ids))
     part = cut.where(F.col("length") < capacity)
     counts = part.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -254,7 +263,7 @@ def pack(
         )
         .withColumn("sequence_id", F.col("first_bin") + F.col("place") - F.col("first_rank"))
     )
-    names = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    names = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids]
     full = cut.where(F.col("length") == capacity).withColumns(
         {"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")}
     )

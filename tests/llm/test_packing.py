@@ -74,8 +74,8 @@ def test_pack_covers_every_document(spark, data):
     for i, g in out.sort_values("piece").groupby("id"):
         ids = np.array([*whole.encode(texts[i], add_special_tokens=False).ids, 0], "<u4")
         assert list(g.piece) == list(range(len(g))) and list(g.start) == [2048 * k for k in range(len(g))] and g.length.sum() == len(ids)
-        for s, n, c in zip(g.start, g.length, g.ids_crc32, strict=True):
-            assert zlib.crc32(ids[s : s + n].tobytes()) == c
+        for s, n, c, own in zip(g.start, g.length, g.ids_crc32, g.ids, strict=True):
+            assert zlib.crc32(ids[s : s + n].tobytes()) == c and (np.asarray(own) == ids[s : s + n]).all()
     rooms = []
     for _, g in out.sort_values("offset").groupby("sequence_id"):
         assert list(g.offset) == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= 2048
