@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelark.llm._spark import staged
+from framelark.llm._spark import forget, staged
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -27,25 +27,28 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         )
 
     live = staged(canonical(edges))
-    labels = staged(live.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    labels = labels.withColumn("label", F.col("node"))
+    first = staged(live.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    labels, held = first.withColumn("label", F.col("node")), first  # held: what stands on disk
     for _ in range(max_rounds):
         if live.isEmpty():
+            forget(live)
             return labels
         both = live.union(live.select("b", "a"))
         parent = both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("m"))
-        jump = staged(parent.select("x", F.least("x", "m").alias("to")))
+        jump = staged(parent.select("x", F.least("x", "m").alias("to"), F.lit(True).alias("moved")))
         while True:
             ahead = jump.select(F.col("x").alias("to"), F.col("to").alias("next"))
-            jump = staged(jump.join(ahead, "to").select("x", F.col("next").alias("to"), (F.col("to") != F.col("next")).alias("moved")))
-            done = jump.where("moved").isEmpty()
-            jump = jump.drop("moved")
-            if done:
+            step = jump.drop("moved").join(ahead, "to")
+            old, jump = jump, staged(step.select("x", F.col("next").alias("to"), (F.col("to") != F.col("next")).alias("moved")))
+            forget(old)
+            if jump.where("moved").isEmpty():
                 break
         left = jump.select(F.col("x").alias("a"), F.col("to").alias("ta"))
         right = jump.select(F.col("x").alias("b"), F.col("to").alias("tb"))
         moved = live.join(left, "a").join(right, "b")
-        live = staged(canonical(moved.select(F.col("ta").alias("a"), F.col("tb").alias("b"))))
-        named = labels.join(jump.withColumnRenamed("x", "label"), "label", "left")
+        old, live = live, staged(canonical(moved.select(F.col("ta").alias("a"), F.col("tb").alias("b"))))
+        named = labels.join(jump.select(F.col("x").alias("label"), "to"), "label", "left")
         labels = staged(named.select("node", F.coalesce("to", "label").alias("label")))
+        forget(old, jump, held)
+        held = labels
     raise RuntimeError("components did not settle")
