@@ -15,21 +15,18 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelark.llm._spark import groups_of, staged
+from framelark.llm._spark import groups_of, join_unique, staged, trimmed
 from framelark.llm.graph import components
 
 SEED = 42
 BITS = 64
 #: Shingles hashed at once: bounds the unpacked bit matrix of a long text.
 SHINGLES = 1 << 15
-#: Ranges of a sketch, and what one without a shingle holds.
-SKETCH, EMPTY = 128, 2**32 - 1
 #: Rows of a bucket that one task compares; larger buckets are cut into cells.
 CELL = 4096
 
@@ -48,63 +45,33 @@ def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
         yield np.fromiter((digest(s, SEED) for s in shingles[at : at + SHINGLES]), np.uint64)
 
 
-def described(text: str | None, words: int, sketched: bool = True) -> tuple[int, np.ndarray]:
-    """The fingerprint and, if asked for, the sketch of one text (see ``fingerprints``)."""
+def fingerprint(text: str | None, words: int) -> int:
+    """A bit is 1 if it is set in over half of the shingles' hashes; zero without a word."""
     total, n = np.zeros(BITS, dtype=np.int64), 0
-    sketch = np.full(SKETCH, EMPTY, dtype=np.uint32)
     for h in shingle_hashes(text, words):
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int64)
         n += len(h)
-        if sketched:
-            np.minimum.at(sketch, (h >> np.uint64(57)).astype(np.int64), (h >> np.uint64(20)).astype(np.uint32))
     over = (2 * total > n).astype(np.uint8)
-    return int(np.packbits(over, bitorder="little").view(np.uint64)[0]), sketch
-
-
-def fingerprint(text: str | None, words: int) -> int:
-    return described(text, words, sketched=False)[0]
+    return int(np.packbits(over, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(
-    docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", sketched: bool = False
-) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp)``: the signed 64-bit fingerprint of every whole text.
 
     A-Z are lower-cased, words are runs of other than ASCII white space, and
     repeats of a shingle count.  A text of fewer words is one shingle; a null,
-    empty or blank text has fingerprint zero.  Null ids are kept.  ``sketched``
-    adds ``sketch``: the smallest hash in each of 128 ranges of the shingles'
-    hashes (a one-permutation MinHash).
+    empty or blank text has fingerprint zero.  Null ids are kept.
     """
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [described(t, words, sketched) for t in batch.column(1).to_pylist()]
-            fps = np.array([f for f, _ in found], dtype=np.uint64)
-            cols = [batch.column(0), pa.array(fps.view(np.int64))]
-            if sketched:
-                cols.append(pa.array([s.tobytes() for _, s in found], pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, ["id", "fp", "sketch"][: len(cols)])
+            fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"id {kind.simpleString()}, fp bigint" + ", sketch binary" * sketched)
-
-
-def likeness(a: bytes, b: bytes) -> float:
-    """Estimated share of common shingles; 1 for two empty texts."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    some = (x != EMPTY) | (y != EMPTY)
-    return float((x[some] == y[some]).mean()) if some.any() else 1.0
-
-
-def _likeness(a: str, b: str):
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([likeness(v, w) for v, w in zip(x, y, strict=True)], dtype="float64")
-
-    return run(a, b)
+    return source.mapInArrow(trimmed(run), f"id {kind.simpleString()}, fp bigint")
 
 
 def bucket_keys(radius: int, blocks: int) -> list:
@@ -221,7 +188,7 @@ def union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def _link(radius: int, nearest: bool = False):
+def _link(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, ["t", "k", "lo", "hi"], 1 << 14):
             cols = [t.column(c).to_numpy() for c in ("t", "k", "lo", "hi", "c")]
@@ -241,37 +208,27 @@ def _link(radius: int, nearest: bool = False):
                 first = np.where(cross, (starts + inner)[group], first)
                 end = np.where(cross & (c != lo), first, end)
             parent = np.arange(n)
-            best = np.full(n, np.iinfo(np.int64).max)
             for a, b in near_lanes(fps, first, end, radius):
                 union(parent, a, b)
-                if nearest:
-                    d = np.bitwise_count(fps[a] ^ fps[b]).astype(np.int64) << 32
-                    np.minimum.at(best, a, d | b)
-                    np.minimum.at(best, b, d | a)
             moved = np.nonzero(parent != np.arange(n))[0]
-            goal = parent[moved]
-            if nearest:
-                near = np.nonzero(best != np.iinfo(np.int64).max)[0]
-                moved, goal = np.concatenate([moved, near]), np.concatenate([goal, best[near] & 0xFFFFFFFF])
             signed = fps.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed[moved]), pa.array(signed[goal])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed[moved]), pa.array(signed[parent[moved]])], ["a", "b"])
 
-    return run
+    return trimmed(run)
 
 
-def links(
-    distinct: DataFrame, radius: int, blocks: int, cell: int = CELL, nearest: bool = False
-) -> DataFrame:
+def links(distinct: DataFrame, radius: int, blocks: int, cell: int = CELL) -> DataFrame:
     """Edges ``(a, b)`` that connect the distinct ``fp`` within ``radius`` bits.
 
     Each cell of a bucket gives a spanning forest of its links, never all
-    pairs; with ``nearest`` also every row's link to the nearest other.  A bucket of more than ``cell`` rows is dealt as chunk pairs over
-    as many tasks as it needs.
+    pairs.  A bucket of more than ``cell`` rows is dealt as chunk pairs over as
+    many tasks as it needs, and the few largest get their size by broadcast, so
+    no task ever holds one of them.
     """
     keyed = distinct.select("fp", F.explode(F.array(*bucket_keys(radius, blocks))).alias("s"))
     keyed = keyed.select("fp", "s.t", "s.k")
-    sizes = keyed.groupBy("t", "k").count().where("count > 1")
-    dealt = keyed.join(sizes, ["t", "k"]).withColumn(
+    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("count")).where("count > 1")
+    dealt = join_unique(keyed, sizes, ["t", "k"], "count", distinct.count()).withColumn(
         "n", F.ceil(F.col("count") / F.lit(cell)).cast("int")
     )
     dealt = dealt.withColumn("c", F.pmod(F.xxhash64("fp", "t"), F.col("n")).cast("int"))
@@ -282,7 +239,7 @@ def links(
     dealt = dealt.select("t", "k", "c", "fp", F.explode(cells).alias("p"))
     dealt = dealt.select("t", "k", "p.lo", "p.hi", "c", "fp").repartition("t", "k", "lo", "hi")
     ordered = dealt.sortWithinPartitions("t", "k", "lo", "hi", "c")
-    ends = ordered.mapInArrow(_link(radius, nearest), "a bigint, b bigint")
+    ends = ordered.mapInArrow(_link(radius), "a bigint, b bigint")
     return ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -293,40 +250,27 @@ def near_duplicates(
     blocks: int = 6,
     id_col: str = "doc_id",
     text_col: str = "text",
-    similarity: float | None = None,
 ) -> DataFrame:
     """``(id, fp, component)`` for every row: one class per linked fingerprints.
 
-    With ``similarity`` only such links count between different fingerprints
-    whose texts' estimated share of common shingles reaches it, for the nearest
-    and one other partner that each has in every bucket.
-
     ``component`` is the smallest id reachable over links of at most ``radius``
     differing bits; copies (equal fingerprints) are compared once.  Null ids
     are kept, and are a component's name only where it has no other (null).
-    An empty table gives an empty result.
+    Repeated rows give equal rows.  An empty table gives an empty result; other
+    columns are not looked at.
     """
     if not 0 <= radius <= 15 or blocks <= radius:
         raise ValueError("radius must be 0 to 15 and below blocks")
-    sketched = similarity is not None
-    prints = staged(fingerprints(docs, words, id_col, text_col, sketched))
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    edges = links(distinct.select("fp"), radius, blocks, nearest=sketched)
-    if sketched:
-        edges = staged(edges)
-        used = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        known = prints.join(used, "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch"))
-        known = staged(known)
-        left, right = (known.select(F.col("fp").alias(c), F.col("sketch").alias(f"s{c}")) for c in ("a", "b"))
-        edges = edges.join(left, "a").join(right, "b").where(_likeness("sa", "sb") >= similarity).select("a", "b")
-    named = components(edges)
+    prints = staged(fingerprints(docs, words, id_col, text_col))
+    distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    named = components(links(distinct.select("fp"), radius, blocks))
     rooted = distinct.join(named.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("label", "fp").alias("label")
+        "fp", "least", "n", F.coalesce("label", "fp").alias("label")
     )
     rooted = staged(rooted)
-    best = rooted.groupBy("label").agg(F.min("least").alias("component"))
-    classes = rooted.join(best, "label").select("fp", "component")
-    return prints.join(classes, "fp").select("id", "fp", "component")
+    best = rooted.groupBy("label").agg(F.min("least").alias("component"), F.count("*").alias("m"))
+    classes = join_unique(rooted, best, ["label"], "m", rooted.count()).select("fp", "n", "component")
+    return join_unique(prints, classes, ["fp"], "n", prints.count()).select("id", "fp", "component")
 
 
 def representatives(

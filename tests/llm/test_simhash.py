@@ -64,20 +64,6 @@ def test_components_of_a_long_chain(spark):
     assert graph.components(edges.limit(0)).count() == 0
 
 
-def test_sketches_estimate_common_shingles():
-    rng = np.random.default_rng(2)
-    a = [f"w{i}" for i in rng.integers(0, 9999, 2000)]
-    b = list(a)
-    for at in rng.integers(0, 2000, 40):
-        b[at] = "new"
-    sets = [{tuple(t[i : i + 5]) for i in range(1996)} for t in (a, b)]
-    want = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-    x, y = (simhash.described(" ".join(t), 5)[1].tobytes() for t in (a, b))
-    assert abs(simhash.likeness(x, y) - want) < 0.12 and simhash.likeness(x, x) == 1
-    empty = simhash.described(None, 5)[1].tobytes()
-    assert simhash.likeness(empty, empty) == 1 and simhash.likeness(empty, x) == 0
-
-
 def test_query_equals_brute_force(spark, data):
     from framelark.llm import queries
 
