@@ -13,6 +13,8 @@ import functools
 import html
 import random
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,17 +22,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelark.llm._spark import release
+
+#: A "<" outside quotes ends what is no tag, so that a scan never goes far ahead in vain.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^<>]*+>?"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/><]*+)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.DOTALL,
 )
+#: References of very many digits, which are no character.
+LONG_REFERENCE = re.compile(r"&#(?:0*+([0-9]{8,})|[xX]0*+([0-9a-fA-F]{7,}));?")
+ZEROS = re.compile(r"&#([xX]?)0{8,}")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
-NAME = re.compile(r"[a-z]+")
+#: Words of an attribute; capitals begin one.
+NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 SPACE = re.compile(r"\s+")
-#: Elements whose content is no text of the page.
+#: Elements whose content is no text of the page.  An unclosed one is empty; script and style go on to the page's end.
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "select", "title"}
-RAW_END = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.IGNORECASE) for t in RAW}
+TO_THE_END = {"script", "style"}
+RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
@@ -52,24 +62,62 @@ OTHER_NAMES = {
 }
 ZONES = {"article", "main", "nav", "header", "footer", "aside", "form", "head", "dialog"}
 ZONE_NAMES = frozenset(MAIN_NAMES).union({"hidden"}, *OTHER_NAMES.values())
+#: Names that tell nothing of a part's kind.  Other words and tags are no features, so these never grow with a page.
+PLAIN_NAMES = ("container", "wrapper", "wrap", "box", "inner", "list", "site")
+KNOWN_NAMES = ZONE_NAMES.union(PLAIN_NAMES)
 #: A tag that opens closes these while they are the innermost block.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEEPS_P = INLINE | VOID - {"hr"}
+KNOWN_TAGS = ZONES | {
+    "html", "body", "div", "section", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody",
+    "thead", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "details", "summary", "center", "address", "fieldset",
+}
+
+
+@dataclass
+class Level:
+    """An open element with what holds for it and all around it."""
+
+    tag: str
+    tags: frozenset[str]
+    names: frozenset[str]
+    zone: tuple[str, ...]  # of the nearest element that says what it is for
+
+
+OUTSIDE = Level("-", frozenset(), frozenset(), ("-",))
 
 
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
-    names: frozenset[str]
-    zone: tuple[str, ...]  # the nearest ancestor that says what it is for
+    level: Level
     linked: int  # characters inside links
 
 
+def nested(outer: Level, tag: str, own: frozenset[str]) -> Level:
+    zone = (*((tag,) if tag in ZONES else ()), *sorted(own & ZONE_NAMES)) or outer.zone
+    tags = outer.tags if tag in outer.tags or tag not in KNOWN_TAGS else outer.tags | {tag}
+    names = outer.names if own <= outer.names else outer.names | own
+    return Level(tag, tags, names, zone)
+
+
+def decoded(raw: str) -> str:
+    if "&" not in raw:
+        return raw
+    if "&#" in raw:
+        raw = LONG_REFERENCE.sub("\ufffd", ZEROS.sub(r"&#\1", raw))
+    return html.unescape(raw)
+
+
 def blocks_of(page: str | None) -> list[Block]:
-    """The non-empty leaf blocks in page order, white space made single spaces."""
+    """The non-empty leaf blocks in page order, white space made single spaces.
+
+    The work grows with the page's length alone, however deep or broken it is.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
+    stack: list[Level] = [OUTSIDE]
+    open_ = Counter()  # how often a tag is on the stack
+    endless: set[str] = set()  # tags that are closed nowhere further on
     parts: list[str] = []
     linked = links = 0
 
@@ -77,14 +125,13 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal linked
         text = SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            names = frozenset().union(*(n for _, n in stack)) if stack else frozenset()
-            out.append(Block(text, tuple(t for t, _ in stack), names, zone_of(stack), linked))
+            out.append(Block(text, stack[-1], linked))
         parts.clear()
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        text = html.unescape(raw) if "&" in raw else raw
+        text = decoded(raw)
         parts.append(text)
         if links:
             linked += len(text.strip())
@@ -107,20 +154,28 @@ def blocks_of(page: str | None) -> list[Block]:
         if m["close"]:
             if tag == "a":
                 links = max(0, links - 1)
-            if tag in INLINE:
-                continue
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is None and tag != "p":
+            if tag in INLINE or (not open_[tag] and tag != "p"):
                 continue
             flush()
-            if depth is not None:
-                del stack[depth:]
+            if open_[tag]:
+                while True:
+                    gone = stack.pop().tag
+                    open_[gone] -= 1
+                    if gone == tag:
+                        break
                 links = 0
             continue
+        closed = m["attrs"].endswith("/")
         if tag in RAW:
-            end = RAW_END[tag].search(page, at)
-            at = end.end()
             parts.append(" ")
+            if closed and tag == "svg":
+                continue
+            end = None if tag in endless else RAW_END[tag].search(page, at)
+            if end:
+                at = end.end()
+            else:
+                endless.add(tag)
+                at = len(page) if tag in TO_THE_END else at
             continue
         if tag in INLINE:
             if tag == "a":
@@ -129,38 +184,29 @@ def blocks_of(page: str | None) -> list[Block]:
                 parts.append(" ")
             continue
         flush()
-        if stack and stack[-1][0] == "p" and tag not in KEEPS_P:
-            stack.pop()
-        while stack and stack[-1][0] in CLOSED_BY.get(tag, ()):
-            stack.pop()
+        while stack[-1].tag in CLOSED_BY.get(tag, ()) or (stack[-1].tag == "p" and tag not in KEEPS_P):
+            open_[stack.pop().tag] -= 1
         links = 0
-        if tag not in VOID and not m["attrs"].endswith("/"):
-            stack.append((tag, names_of(m["attrs"]) if m["attrs"].strip() else frozenset()))
+        if tag not in VOID and not closed:
+            stack.append(nested(stack[-1], tag, names_of(m["attrs"]) if m["attrs"].strip() else frozenset()))
+            open_[tag] += 1
     flush()
     return out
 
 
-def zone_of(stack: list[tuple[str, frozenset]]) -> tuple[str, ...]:
-    for tag, names in reversed(stack):
-        known = names & ZONE_NAMES
-        if known or tag in ZONES:
-            return (*((tag,) if tag in ZONES else ()), *known)
-    return ("-",)
-
-
 @functools.lru_cache(maxsize=4096)
 def names_of(attrs: str) -> frozenset[str]:
-    """Words of class, id and role; ``hidden`` for what is not shown."""
+    """Known words of class, id and role; ``hidden`` for what is not shown."""
     names: set[str] = set()
     for key, value in ATTRIBUTE.findall(attrs):
-        key, value = key.lower(), value.lower()
-        if key in ("hidden",) or (key == "aria-hidden" and "true" in value):
+        key = key.lower()
+        if key == "hidden" or (key == "aria-hidden" and "true" in value.lower()):
             names.add("hidden")
         elif key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
                 names.add("hidden")
         else:
-            names.update(w for w in NAME.findall(value) if len(w) > 1)
+            names.update(w for n in NAME.findall(value) if (w := n.lower()) in KNOWN_NAMES)
     return frozenset(names)
 
 
@@ -172,9 +218,9 @@ def features(blocks: list[Block]) -> list[list[str]]:
         n = len(b.text)
         words = b.text.count(" ") + 1
         share = b.linked / n
-        f = [f"t:{t}" for t in set(b.tags)] + [f"n:{w}" for w in b.names]
-        f += [f"zone:{z}" for z in b.zone]
-        f.append(f"parent:{b.tags[-1] if b.tags else '-'}")
+        f = [f"t:{t}" for t in b.level.tags] + [f"n:{w}" for w in b.level.names]
+        f += [f"zone:{z}" for z in b.level.zone]
+        f.append(f"parent:{b.level.tag}")
         f.append(f"words:{min(words.bit_length(), 7)}")
         f.append("links:" + ("0" if share < 0.1 else "1" if share < 0.6 else "2"))
         f.append(f"end:{b.text[-1] in '.!?:;…。' + chr(34)}")
@@ -292,8 +338,9 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
         if rng.random() > chance:
             return ""
         name = rng.choice(names)
-        if rng.random() < 0.4:
-            name = rng.choice((f"{name}-{rng.choice(('wrap', 'box', 'inner', 'list'))}", f"site-{name}", f"{name} {rng.choice(names)}"))
+        if rng.random() < 0.5:
+            other = _words(rng, 1)  # a word that no page has twice
+            name = rng.choice((f"{name}-{rng.choice(('wrap', 'box', 'inner', 'list'))}", f"site-{name}", f"{name} {rng.choice(names)}", f"{name}-{other}", f"{other}_{name}", f"{name}{other.capitalize()}-{name}"))
         return f' {rng.choice(("class", "class", "id"))}="{name}"'
 
     def link(text: str) -> str:
@@ -323,6 +370,8 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
             tag = rng.choice(("aside", "aside", "div", "section"))
             return f"<{tag}{attrs(names, 0.5 if tag == 'aside' else 1)}><h3>{_words(rng, 2)}</h3>{rng.choice((menu(), '<p>' + loose() + '</p>', loose()))}</{tag}>"
         if kind == "form":
+            if rng.random() < 0.3:
+                return f"<div{attrs(names, 1)}><p>{loose()}</p></div>"
             return f"<form{attrs(names, 0.6)}><label>{_words(rng, 2)}</label><input name=q>{rng.choice(('', '<p>' + loose() + '</p>'))}<button>{_words(rng, 1)}</button></form>"
         if kind == "comments":
             tag = rng.choice(("section", "div", "ol"))
@@ -360,8 +409,8 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
                 out.append(f"<pre>{text}</pre>")
             else:
                 out.append(f"<table><tr><td>{text}</td><td>{keep(_words(rng, 2))}</td></tr></table>")
-            if rng.random() < 0.12:
-                out.append(other(rng.choice(("ad", "notice", "share", "aside", "form", "nav"))))
+            if rng.random() < 0.25:
+                out.append(other(rng.choice(("ad", "notice", "notice", "share", "aside", "form", "nav", "comments"))))
         return "".join(out)
 
     if rng.random() < 0.04:  # text without markup, or with paragraphs alone
@@ -408,8 +457,10 @@ def main_text(pages: DataFrame, html_col: str = "html"):
     sent = pages.sparkSession.sparkContext.broadcast(field())
 
     @F.pandas_udf("string")
-    def text(page: pd.Series) -> pd.Series:
-        return pd.Series([extract(p, sent.value) for p in page], dtype=object)
+    def text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for page in pages:
+            yield pd.Series([extract(p, sent.value) for p in page], dtype=object)
+        release()
 
     return text(F.col(html_col).cast("string"))
 
@@ -418,7 +469,8 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """``(id, url, text, n_chars)`` for every row, repeats and null ids included.
 
     A page without main text, null or empty html give an empty text.  Nothing
-    is cut from long pages.  An empty table gives an empty result.
+    is cut from long pages.  An empty table gives an empty result; other
+    columns are not looked at.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), main_text(pages, html_col).alias("text"))
     return rows.select("id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
