@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelark.llm._spark import hash_sample, release, trimmed
+
 SIZE = 1024
 SEED = 20240
-#: Documents whose vectors are made at once.
-BLOCK = 64
+#: Texts whose vectors are made at once, their characters, and the trigrams expanded at once.
+BLOCK, CHARACTERS, SLICE = 64, 1 << 19, 8192
 
 
 @functools.cache
@@ -47,28 +49,49 @@ def trigram_vectors(codes: np.ndarray) -> np.ndarray:
     return np.roll(base, 2, axis=1)[a] * np.roll(base, 1, axis=1)[b] * base[c]
 
 
-def trigrams(text: str | None) -> np.ndarray:
-    """The trigram codes of a whole text; runs of other characters part words."""
-    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = np.concatenate([[0], alphabet()[np.minimum(points, 0xFFFF)], [0]]).astype(np.uint32)
+def trigrams(text: str, at: int = 0, end: int | None = None) -> np.ndarray:
+    """The trigram codes around the characters from ``at`` to ``end``; runs of other characters part words."""
+    end = len(text) if end is None else end
+    near = text[max(0, at - 1) : end + 1].encode("utf-32-le", "surrogatepass")
+    symbols = alphabet()[np.minimum(np.frombuffer(near, np.uint32), 0xFFFF)]
+    symbols = np.concatenate([[0] * (at == 0), symbols, [0] * (end >= len(text))]).astype(np.uint32)
     codes = symbols[:-2] << 16 | symbols[1:-1] << 8 | symbols[2:]
     return codes[symbols[1:-1] != 0]
 
 
+def pieces(texts: list[str | None]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(text, trigram codes) in blocks of some texts and characters; long texts come in parts."""
+    block, size = [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text or ""), CHARACTERS):
+            end = min(at + CHARACTERS, len(text))
+            if block and (len(block) == BLOCK or size + end - at > CHARACTERS):
+                yield block
+                block, size = [], 0
+            block.append((i, trigrams(text, at, end)))
+            size += end - at
+    if block:
+        yield block
+
+
 def vectors(texts: list[str | None]) -> np.ndarray:
     """One row of ``SIZE`` sums for each text; zero for one without letters."""
-    out = np.zeros((len(texts), SIZE), dtype=np.float32)
-    for lo in range(0, len(texts), BLOCK):
-        codes = [trigrams(t) for t in texts[lo : lo + BLOCK]]
-        sizes = [len(c) for c in codes]
+    out = np.zeros((len(texts), SIZE))
+    for block in pieces(texts):
+        rows = np.array([i for i, _ in block])
+        sizes = [len(c) for _, c in block]
         if not sum(sizes):
             continue
-        doc = np.repeat(np.arange(len(codes), dtype=np.int64), sizes)
-        pairs, counts = np.unique(doc << 24 | np.concatenate(codes), return_counts=True)
-        known, at = np.unique(pairs & 0xFFFFFF, return_inverse=True)
-        table = np.zeros((len(codes), len(known)), dtype=np.float32)
-        table[pairs >> 24, at] = counts
-        out[lo : lo + len(codes)] = table @ trigram_vectors(known).astype(np.float32)
+        part = np.repeat(np.arange(len(block), dtype=np.int64), sizes)
+        codes = np.concatenate([c for _, c in block]).astype(np.int64)
+        pairs, counts = np.unique(codes * BLOCK + part, return_counts=True)  # by code, then by text
+        known = np.unique(pairs // BLOCK)
+        for lo in range(0, len(known), SLICE):
+            own = known[lo : lo + SLICE]
+            s = slice(*np.searchsorted(pairs, (own[0] * BLOCK, (own[-1] + 1) * BLOCK)))
+            table = np.zeros((len(block), len(own)), dtype=np.float32)
+            table[pairs[s] % BLOCK, np.searchsorted(own, pairs[s] // BLOCK)] = counts[s]
+            np.add.at(out, rows, (table @ trigram_vectors(own).astype(np.float32)).astype(np.float64))
     return out
 
 
@@ -115,7 +138,7 @@ def learn(rows: DataFrame) -> Profiles:
             ["lang", "v"],
         )
 
-    parts = rows.select("lang", "text").mapInArrow(run, "lang string, v array<double>")
+    parts = rows.select("lang", "text").mapInArrow(trimmed(run), "lang string, v array<double>")
     sums = parts.select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))
     found = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("v")).collect()
     found = sorted((r["lang"], [p["x"] for p in r["v"]]) for r in found)
@@ -138,17 +161,19 @@ def identify(
     have a language, chosen by a hash of the id; a prediction looks at the
     whole text alone.  Null texts and those without a letter are ``und`` with
     score 0; null ids are kept; repeated rows give equal rows; an empty table
-    gives an empty result.
+    gives an empty result; other columns are not looked at.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & usable(F.col(id_col)))
-    ids = known.select(F.col(id_col).alias("key")).distinct().orderBy(F.xxhash64("key"), "key").limit(bound)
+    ids = hash_sample(known.select(F.col(id_col).alias("key")).distinct(), ["key"], bound)
     rows = known.select(F.col(id_col).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     profiles = learn(rows.join(F.broadcast(ids), "key"))  # at most ``bound`` ids
 
     @F.pandas_udf("struct<lang:string,score:double>")
-    def predict(text: pd.Series) -> pd.DataFrame:
-        names, scores = profiles.predict(text.tolist())
-        return pd.DataFrame({"lang": names, "score": scores})
+    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in texts:
+            names, scores = profiles.predict(text.tolist())
+            yield pd.DataFrame({"lang": names, "score": scores})
+        release()
 
     found = docs.select(F.col(id_col).alias("id"), predict(F.col(text_col).cast("string")).alias("p"))
     return found.select("id", held_out(F.col("id")).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
