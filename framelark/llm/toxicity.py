@@ -11,8 +11,10 @@ ratio to the length give the score.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,10 +22,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelark.llm._spark import staged
+from framelark.llm._spark import hash_sample, release, staged, trimmed
 
 #: Letters that look like Latin ones, and digits and signs that stand for letters.
 LOOKALIKES = str.maketrans(
@@ -73,7 +75,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             counts[toxic].update({p for w in set(fold(text).split()) for p in patterns_of(w)})
-        if len(counts[0]) + len(counts[1]) > 400_000:
+        if len(counts[0]) + len(counts[1]) > 200_000:
             yield out()
     yield out()
 
@@ -83,21 +85,38 @@ class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)  # below zero: a phrase that cancels what it holds
     bias: tuple[float, float, float] = (-8.0, 0.0, 0.0)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_automaton"}
+
     def automaton(self):
+        """Made at the first use, and again if the weights have been replaced."""
         import ahocorasick
 
-        found = ahocorasick.Automaton()
-        for pattern, weight in self.weights.items():
-            found.add_word(pattern, (pattern, weight))
-        if self.weights:
-            found.make_automaton()
-        return found
+        made = self.__dict__.get("_automaton")
+        if made is None or made[0] is not self.weights or made[1] != len(self.weights):
+            found = ahocorasick.Automaton()
+            for pattern, weight in self.weights.items():
+                found.add_word(pattern, (pattern, weight))
+            if self.weights:
+                found.make_automaton()
+            made = self._automaton = (self.weights, len(self.weights), found)
+        return made[2]
 
     def matches(self, folded: str, automaton) -> list[tuple[str, float]]:
         """The patterns found, with their weights, outside all exception phrases."""
         found = [(end - len(p) + 1, end, p, w) for end, (p, w) in automaton.iter(folded)] if self.weights else []
-        spared = [(lo, hi) for lo, hi, _, w in found if w < 0]
-        return [(p, w) for lo, hi, p, w in found if w > 0 and not any(a <= lo and hi <= b for a, b in spared)]
+        spared = sorted((lo, hi) for lo, hi, _, w in found if w < 0)
+        if not spared:
+            return [(p, w) for _, _, p, w in found]
+        starts, reach, most = [lo for lo, _ in spared], [], -1  # reach: how far any of the first phrases goes
+        for _, hi in spared:
+            reach.append(most := max(most, hi))
+
+        def within(lo: int, hi: int) -> bool:
+            at = bisect_right(starts, lo)
+            return at > 0 and hi <= reach[at - 1]
+
+        return [(p, w) for lo, hi, p, w in found if w > 0 and not within(lo, hi)]
 
     def features(self, text: str | None, automaton) -> tuple[float, float]:
         folded = fold(text)
@@ -118,14 +137,22 @@ def training_rows(
     """At most ``bound`` documents with a label, chosen by a hash of the id: ``(text, toxic)``."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & usable(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("key")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("toxic"))
-    known = known.orderBy(F.xxhash64("key"), "key").limit(bound)
+    known = hash_sample(known, ["key"], bound)
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(known), "key").dropDuplicates(["key"])  # at most ``bound`` ids
-    return staged(rows.select("text", "toxic"))
+    rows = texts.join(F.broadcast(known), "key")  # at most ``bound`` ids
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")  # of several texts of an id
+    return staged(rows.groupBy("key").agg(one, F.max("toxic").alias("toxic")).select("text", "toxic"))
+
+
+def _g_statistic(c: Column, t: Column, clean: int, toxic: int) -> Column:
+    """Twice the log likelihood ratio of the rows with a pattern against no difference between the labels."""
+    p = (c + t) / float(clean + toxic)
+    cells = ((t, toxic * p), (c, clean * p), (toxic - t, toxic * (1 - p)), (clean - c, clean * (1 - p)))
+    return 2 * sum((F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
 
 
 def learn(rows: DataFrame, size: int = 2000) -> Lexicon:
-    """A lexicon of at most ``size`` patterns from ``(text, toxic)`` rows.
+    """A lexicon of at most ``size`` patterns and as many exceptions from ``(text, toxic)`` rows.
 
     Without a toxic and a clean row there is nothing to learn, and every score
     is near zero.
@@ -134,18 +161,15 @@ def learn(rows: DataFrame, size: int = 2000) -> Lexicon:
     clean, toxic = sums.get(0, 0), sums.get(1, 0)
     if not clean or not toxic:
         return Lexicon()
-    counted = rows.mapInArrow(_counts, "pattern string, clean bigint, toxic bigint")
+    counted = rows.mapInArrow(trimmed(_counts), "pattern string, clean bigint, toxic bigint")
     counted = staged(counted.groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     tested = counted.where("clean + toxic >= 3").count()
     found = counted.where((F.col("toxic") >= 3) & (F.col("toxic") * clean > 4 * F.col("clean") * toxic))
-    found = found.orderBy(F.desc("toxic"), "pattern").limit(20 * size)  # driver: a bounded list
-    need = 2 * np.log(max(tested, 2))
+    # the test of significance runs before anything is sent; what passes is bounded by the training rows
+    found = found.where(_g_statistic(F.col("clean"), F.col("toxic"), clean, toxic) >= 2 * math.log(max(tested, 2)))
     good: dict[str, tuple[float, int, int]] = {}
-    for pattern, c, t in ((r["pattern"], r["clean"], r["toxic"]) for r in found.collect()):
-        p = (c + t) / (clean + toxic)
-        cells = ((t, toxic * p), (c, clean * p), (toxic - t, toxic * (1 - p)), (clean - c, clean * (1 - p)))
-        if 2 * sum(o * np.log(o / e) for o, e in cells if o > 0 and e > 0) >= need:
-            good[pattern] = (float(np.log((t + 0.5) / (toxic + 1) / ((c + 0.5) / (clean + 1)))), c, t)
+    for pattern, c, t in (tuple(r) for r in found.select("pattern", "clean", "toxic").collect()):
+        good[pattern] = (float(np.log((t + 0.5) / (toxic + 1) / ((c + 0.5) / (clean + 1)))), c, t)
     weights: dict[str, float] = {}
     doubtful: dict[str, float] = {}  # words that clean rows use too: kept if exceptions explain that
     for pattern in sorted(good, key=lambda p: (p.endswith(" "), len(p), p)):
@@ -243,8 +267,10 @@ def score_udf(lexicon: Lexicon):
     """A column function: the score of a text, 0 to 1; a null text is empty."""
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(lexicon.scores(text), dtype="float64")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            yield pd.Series(lexicon.scores(text), dtype="float64")
+        release()
 
     return score
 
@@ -266,7 +292,9 @@ def classify(
     ``usable``; a score looks at the whole text alone.  Null and empty texts
     get the score of a text without matches; null ids are kept, repeated rows
     give equal rows, a label that a document has twice is toxic if one of them
-    is.  Empty tables give an empty result or scores near zero.
+    is, and of several texts of a labelled id that of the smallest hash is
+    learned from.  Empty tables give an empty result or scores near zero; other
+    columns are not looked at.
     """
     rows = training_rows(docs, labels, usable, bound, id_col, text_col, label_col)
     score = score_udf(learn(rows))
