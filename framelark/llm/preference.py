@@ -3,8 +3,9 @@
 The two conversations of a pair, chosen and rejected, are compared turn by
 turn.  The turns before the first difference are the prompt, given once; what
 follows on either side is its completion, in which only the assistant's turns
-are trained on.  Built from DataFrame functions only; no conversation is ever
-gathered in one task.
+are trained on.  ``preferences`` gives a row per turn, ``paired`` one record per
+pair.  Built from DataFrame functions only; no conversation of unbounded length
+is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelark.llm._spark import HEAVY_LEAST, HEAVY_SHARE, staged
+
 
 def rendered(role: Column, text: Column) -> Column:
     """One turn as text; a null role or text is empty."""
@@ -41,7 +44,8 @@ def preferences(
     a completion, else 0.
 
     The first difference is a minimum over counts that are summed on the map
-    side; a pair that holds a large share of all rows costs a few rows a task.
+    side.  Pairs that hold more than a thousandth of all rows (there are at most
+    a thousand) get it by broadcast, so no task ever holds all rows of one.
     """
     rows = turns.select(
         pair.alias("pair_id"),
@@ -51,9 +55,14 @@ def preferences(
         F.col(text_col).cast("string").alias("text"),
     ).withColumn("at", F.struct(F.col("turn").isNotNull().alias("has"), F.coalesce("turn", F.lit(0)).alias("n")))
     sides = rows.groupBy("pair_id", "at", "role", F.xxhash64("text").alias("x"), F.sha2("text", 256).alias("y"))
-    differ = sides.agg(F.sum(F.when(F.col("is_chosen"), 1).otherwise(-1)).alias("d")).where("d <> 0")
-    ends = differ.groupBy(F.col("pair_id").alias("pair")).agg(F.min("at").alias("end"))
-    marked = rows.join(ends, F.col("pair_id").eqNullSafe(F.col("pair")), "left")
+    sides = sides.agg(F.sum(F.when(F.col("is_chosen"), 1).otherwise(-1)).alias("d"), F.count("*").alias("n"))
+    ends = sides.groupBy(F.col("pair_id").alias("pair")).agg(F.min(F.when(F.col("d") != 0, F.col("at"))).alias("end"), F.sum("n").alias("n"))
+    ends = staged(ends)
+    most = max(HEAVY_LEAST, (ends.agg(F.sum("n")).first()[0] or 0) // HEAVY_SHARE)
+    same = F.col("pair_id").eqNullSafe(F.col("pair"))
+    heavy = F.broadcast(ends.where(F.col("n") > most).select("pair", "end"))  # at most HEAVY_SHARE pairs
+    rest = rows.join(heavy, same, "left_anti").join(ends.where(F.col("n") <= most).select("pair", "end"), same)
+    marked = rows.join(heavy, same).unionByName(rest)
     shared = F.col("end").isNull() | (F.col("at") < F.col("end"))
     part = F.when(shared, "prompt").when(F.col("is_chosen"), "chosen").otherwise("rejected")
     return marked.where(~shared | F.col("is_chosen")).select(
@@ -66,6 +75,34 @@ def preferences(
     )
 
 
+def paired(formatted: DataFrame, turns: int = 1000) -> DataFrame:
+    """``(pair_id, block, piece, prompt, chosen, rejected)``: the pairs of ``preferences``, a record each.
+
+    ``prompt`` is the text before the completions, once; ``chosen`` and
+    ``rejected`` are their turns in order as ``(content, train, times)``:
+    ``train`` is the mask, and ``times`` tells how often a turn number holds
+    the same row.  A pair with turn numbers from ``turns`` on has a record for
+    each ``turns`` of them, by ``block``; records of a block that holds more
+    than ``turns`` different rows are told by ``piece``, so a record never has
+    more than about ``turns`` entries.  Null turns are in the first block.
+    """
+    rows = formatted.groupBy(
+        "pair_id", F.coalesce(F.expr(f"turn div {turns}"), F.lit(0)).alias("block"), "part", "turn", "content", "train"
+    ).agg(F.count("*").alias("times"))
+    key = ["pair_id", "block"]
+    full = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > 3 * turns)
+    full = full.select(F.col("pair_id").alias("p"), F.col("block").alias("b"), F.ceil(F.col("n") / turns).alias("pieces"))
+    same = F.col("pair_id").eqNullSafe(F.col("p")) & (F.col("block") == F.col("b"))
+    piece = F.when(F.col("pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64("part", "turn", "content"), F.col("pieces")))
+    rows = rows.join(full, same, "left").withColumn("piece", piece.cast("int"))
+    entry = F.struct(F.col("turn").isNotNull().alias("has"), "turn", "content", "train", "times")
+    side = lambda name: F.sort_array(F.collect_list(F.when(F.col("part") == name, entry))).alias(name)
+    out = rows.groupBy("pair_id", "block", "piece").agg(side("prompt"), side("chosen"), side("rejected"))
+    text = F.array_join(F.transform("prompt", lambda e: F.repeat(e["content"], e["times"].cast("int"))), "")
+    masked = lambda c: F.transform(c, lambda e: F.struct(e["content"], e["train"], e["times"])).alias(c)
+    return out.select("pair_id", "block", "piece", text.alias("prompt"), masked("chosen"), masked("rejected"))
+
+
 #: The same for a table ``conversations`` whose even and odd ids are pairs.
 SQL = """
 WITH r AS (
