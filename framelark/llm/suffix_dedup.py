@@ -27,20 +27,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from framelark.llm._spark import groups_of, release, staged
+from framelark.llm._spark import forget, groups_of, join_unique, release, staged, trimmed
 
 GRAM = 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes whose anchors are found at once, and anchors sent at once.
 CHUNK, FLUSH = 1 << 20, 600_000
-#: Anchors of one bucket, stretches of one block, and stretches of one anchor in a block.
-BUCKET, BLOCK, HOT = 200_000, 12_000, 10_000
+#: Anchors of one bucket, and stretches and bytes of one block, and stretches of one anchor in a block.
+BUCKET, BLOCK, BLOCK_BYTES, HOT = 200_000, 12_000, 1_000_000, 5_000
 #: Tasks that the anchors of one hash are dealt to when they are joined.
 SALTS = 64
+#: The id of rows without one, which come last; ties tell them from a document of that id.
 LAST = 2**63 - 1
 
 
@@ -287,9 +289,10 @@ def _find_anchors(width: int, buckets: int):
         if count:
             yield flush()
 
-    return run
+    return trimmed(run)
 
 
+@trimmed
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, kind, rows) sorted by bucket -> anchors whose hash occurs again."""
 
@@ -349,12 +352,12 @@ def _stretches(width: int):
             cols: list[list] = [[] for _ in range(6)]
             for i, t, x, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = x.encode("utf-8", "surrogatepass")
-                found = sorted({(f["pos"], f["hash"] & (2**64 - 1), f["cells"]) for f in found})
+                found = sorted({(f["pos"], f["hash"] & (2**64 - 1), f["cell"]) for f in found})
                 spans = owned([f[0] for f in found], [f[1] for f in found], len(raw), width)
-                for (p, h, cells), (lo, hi) in zip(found, spans, strict=True):
+                for (_, h, cell), (lo, hi) in zip(found, spans, strict=True):
                     if lo > hi:
                         continue
-                    row = (h - (1 << 64) if h >> 63 else h, (i * 31 + p) % cells if cells > 1 else -1, i, t, lo, raw[lo : hi + width])
+                    row = (h - (1 << 64) if h >> 63 else h, cell, i, t, lo, raw[lo : hi + width])
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -363,7 +366,7 @@ def _stretches(width: int):
                 ["hash", "cell", "id", "tie", "lo", "bytes"],
             )
 
-    return run
+    return trimmed(run)
 
 
 def repeats(spans: list[bytes], ids, ties, lows, cells, width: int):
@@ -432,7 +435,7 @@ def repeats(spans: list[bytes], ids, ties, lows, cells, width: int):
 
 def _blocks(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups_of(batches, ["hash", "cell"], BLOCK):
+        for t in groups_of(batches, ["hash", "cell"], BLOCK, BLOCK_BYTES):
             ids, ties, lows, cells = (t.column(c).to_numpy().astype(np.int64) for c in ("id", "tie", "lo", "cell"))
             spans = t.column("bytes").to_pylist()
             (row, start, end), (orow, oplace, h1, h2) = repeats(spans, ids, ties, lows, cells, width)
@@ -459,25 +462,37 @@ def _blocks(width: int):
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tie, text): null ids come last; ``tie`` parts different texts of one id."""
+    """(id, none, text): null ids are ``none`` and come last."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("id"), text.alias("text"))
+    key = F.col(id_col).cast("bigint")
+    return docs.select(F.coalesce(key, F.lit(LAST)).alias("id"), key.isNull().alias("none"), text.alias("text"))
+
+
+def _tie(tied: bool, none: Column, text: Column) -> Column:
+    """Parts different texts of one id; not below zero only for rows without an id, if there are any."""
+    if not tied:
+        return F.lit(0).cast("bigint")
+    half = F.shiftrightunsigned(F.xxhash64(text), 1)
+    return F.when(none, half).otherwise(-1 - half)
 
 
 def _facts(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """The documents with ``tie``, their staged (id, tie, n_bytes, sha), and whether ids repeat."""
+    """The documents with ``tie``, their staged (id, tie, n_bytes, sha), and whether ids repeat or are missing."""
     facts = staged(
         docs.select(
             "id",
-            F.xxhash64("text").alias("tie"),
+            "none",
+            _tie(True, F.col("none"), F.col("text")).alias("tie"),
             F.octet_length("text").cast("bigint").alias("n_bytes"),
             F.sha2(F.col("text").cast("binary"), 256).alias("sha"),
         )
     )
-    if facts.groupBy("id").count().where("count > 1").isEmpty():
-        none = F.lit(0).cast("bigint")
-        return docs.withColumn("tie", none), facts.withColumn("tie", none), False
-    return docs.withColumn("tie", F.xxhash64("text")), facts, True
+    tied = not facts.where("none").isEmpty() or not facts.groupBy("id").count().where("count > 1").isEmpty()
+    docs = docs.select("id", _tie(tied, F.col("none"), F.col("text")).alias("tie"), "text")
+    facts = facts.drop("none")
+    return docs, facts if tied else facts.withColumn("tie", F.lit(0).cast("bigint")), tied
 
 
 def marked(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text"):
@@ -487,11 +502,13 @@ def marked(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col:
     ``marks(id, tie, spans)`` has the byte spans to remove from the others.
     """
     docs, facts, tied = _facts(_documents(docs, id_col, text_col))
-    total = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    total, rows = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     buckets = max(32, int(total) * 2 // ((width - GRAM + 2) * BUCKET))
     long = F.col("n_bytes") >= width
-    firsts = facts.where(long).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = staged(facts.where(long).join(firsts, "sha").where("id > first").select("id", "tie").distinct())
+    first = F.min(F.struct("id", "tie")).alias("first")
+    firsts = facts.where(long).groupBy("sha").agg(first, F.count("*").alias("n")).where("n > 1")
+    later = join_unique(facts.where(long), firsts, ["sha"], "n", rows).where(F.struct("id", "tie") > F.col("first"))
+    copies = staged(later.select("id", "tie").distinct())
 
     pool = docs.where(F.octet_length("text") >= width).select("id", "tie", "text")
     packed = pool.mapInArrow(_find_anchors(width, buckets), "bucket int, kind int, rows binary")
@@ -501,8 +518,9 @@ def marked(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col:
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")  # of a few hashes
     frequent = frequent.select("hash", F.ceil(F.col("n") / HOT).cast("int").alias("m"), every)
     salted = found.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int"))
-    sized = salted.join(frequent, ["hash", "salt"], "left").withColumn("cells", F.coalesce("m", F.lit(1)))
-    lists = sized.groupBy("id", "tie").agg(F.collect_list(F.struct("pos", "hash", "cells")).alias("found"))
+    cell = F.when(F.col("m").isNull(), -1).otherwise(F.pmod(F.xxhash64("pos", "id", "tie"), F.col("m"))).cast("int")
+    sized = salted.join(frequent, ["hash", "salt"], "left").withColumn("cell", cell)
+    lists = sized.groupBy("id", "tie").agg(F.collect_list(F.struct("pos", "hash", "cell")).alias("found"))
     lists = lists.join(copies, ["id", "tie"], "left_anti")
     taken = pool.join(lists.hint("shuffle_hash"), ["id", "tie"])
     spread = taken.select("id", "tie", "text", "found").mapInArrow(
@@ -517,6 +535,7 @@ def marked(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col:
     )
     sure = out.where("sure").select("id", "tie", "start", "end")
     open_ = out.where("not sure").withColumn("at", F.struct("id", "tie", "start"))
+    forget(found)
     least = open_.groupBy("h1", "h2").agg(F.min("at").alias("least"), F.count("*").alias("n")).where("n > 1")
     later = open_.join(least, ["h1", "h2"]).where(F.col("at") != F.col("least"))
     marks = sure.union(later.select("id", "tie", "start", "end"))
@@ -543,6 +562,7 @@ def kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
+@trimmed
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, spans = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -567,9 +587,10 @@ def summary(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col:
     Texts are UTF-8 bytes; a null text is empty.  Rows that repeat both id and
     text are one document and give equal rows; different texts of one id are
     ordered by their hash; a null id comes after all others.  Texts shorter
-    than ``width`` stay whole.  An empty table gives an empty result.
+    than ``width`` stay whole.  An empty table gives an empty result.  Ids must
+    be integers, as their order decides; other columns are not looked at.
     """
-    documents, facts, copies, marks, _ = marked(docs, width, id_col, text_col)
+    documents, facts, copies, marks, tied = marked(docs, width, id_col, text_col)
     cut = documents.select("id", "tie", "text").join(marks.hint("shuffle_hash"), ["id", "tie"])
     done = cut.select("id", "tie", "text", "spans").mapInArrow(_apply, APPLIED).drop("kept")
     done = staged(done)
@@ -579,14 +600,15 @@ def summary(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col:
     )
     rest = rest.select(
         "id",
+        "tie",
         "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"),
         F.when(gone, 1).otherwise(0).cast("bigint").alias("n_spans"),
         F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("sha")).alias("sha"),
     )
-    all_ = done.drop("tie").unionByName(rest)
-    return all_.select(
-        F.when(F.col("id") != LAST, F.col("id")).alias("id"), "n_bytes", "n_removed", "n_spans", F.col("sha").alias("kept_sha256")
+    own = F.when(F.col("tie") < 0, F.col("id")) if tied else F.col("id")
+    return done.unionByName(rest).select(
+        own.alias("id"), "n_bytes", "n_removed", "n_spans", F.col("sha").alias("kept_sha256")
     )
 
 
@@ -594,7 +616,9 @@ def cleaned(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col:
     """``docs`` with repeated bytes taken out of the text; emptied documents go.
 
     Characters cut in half are dropped with their bytes.  Rows of which nothing
-    is removed keep their text as it was, null included.
+    is removed keep their text as it was, null included.  Ids, ties, repeated
+    rows and empty tables are as in ``summary``; the other columns travel with
+    their row, whatever their names.
     """
     _, _, copies, marks, tied = marked(docs, width, id_col, text_col)
     flags = marks.withColumn("copy", F.lit(False)).unionByName(
@@ -604,7 +628,7 @@ def cleaned(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col:
     keyed = docs.select(  # the rows travel as structs, so no column of theirs can clash
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("id"),
-        (F.xxhash64(F.coalesce(text, F.lit(""))) if tied else F.lit(0).cast("bigint")).alias("tie"),
+        _tie(tied, F.col(id_col).isNull(), F.coalesce(text, F.lit(""))).alias("tie"),
         text.alias("text"),
     )
     joined = keyed.join(flags.hint("shuffle_hash"), ["id", "tie"], "left").where(~F.coalesce("copy", F.lit(False)))

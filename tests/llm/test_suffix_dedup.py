@@ -99,3 +99,13 @@ def test_edges(spark):
     odd = spark.createDataFrame([(1, "a" * 120), (1, "a" * 120), (1, "b" * 120), (None, "b" * 120)], "doc_id bigint, text string")
     out = sorted((str(r.id), r.n_removed) for r in suffix_dedup.summary(odd).collect())
     assert out == [("1", 119), ("1", 119), ("1", 119), ("None", 120)]
+
+
+def test_largest_id_and_none(spark):
+    last = 2**63 - 1
+    odd = spark.createDataFrame([(last, "a" * 120), (None, "a" * 120), (None, "c" * 20), (5, None)], "doc_id bigint, text string")
+    assert {(r.id, r.n_bytes, r.n_removed) for r in suffix_dedup.summary(odd).collect()} == {(last, 120, 119), (None, 120, 120), (None, 20, 0), (5, 0, 0)}
+    only = suffix_dedup.summary(odd.where("doc_id is not null")).collect()
+    assert {(r.id, r.n_removed) for r in only} == {(last, 119), (5, 0)}
+    with pytest.raises(TypeError):
+        suffix_dedup.summary(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
