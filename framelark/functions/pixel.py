@@ -92,12 +92,14 @@ def blended(v: Column, colour: Column, share: float = 0.5) -> Column:
     return F.floor(share * colour + (1 - share) * v).cast("int")
 
 
-def resolution_scale(width: int, height: int) -> tuple[float, float]:
-    """Area and length scale against the 20-megapixel frame that defaults are set for."""
+def resolution_scale(width, height):
+    """Area and length scale against the 20-megapixel frame that defaults are set for, of numbers or columns."""
     area = width * height / (5472 * 3648)
     return area, area**0.5
 
 
-def scaled_floor(least: int, at_reference: float, scale: float) -> int:
-    """A limit that grows with the scale but never falls below ``least``."""
+def scaled_floor(least: int, at_reference: float, scale):
+    """A limit that grows with the scale but never falls below ``least``, of a number or a column."""
+    if isinstance(scale, Column):
+        return F.greatest(F.lit(least), (at_reference * scale).cast("int"))
     return max(least, int(at_reference * scale))

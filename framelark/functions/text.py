@@ -110,6 +110,27 @@ def windows_name(build: Column) -> Column:
     return F.when(build >= 22000, "11").otherwise("10")
 
 
+#: Installers by system and machine (fixed kinds); whatever is not known gets the first.
+INSTALLERS = {"windows": "windows", "linux": "linux", "darwin": "mac-arm", "darwin-intel": "mac-intel"}
+INTEL = ("x86_64", "amd64", "i386", "i686")
+
+
+def installer(system: Column, machine: Column) -> Column:
+    """The kind of installer for a system and its machine."""
+    system, intel = F.lower(system), F.lower(machine).isin(*INTEL)
+    return (
+        F.when((system == "darwin") & F.coalesce(intel, F.lit(False)), INSTALLERS["darwin-intel"])
+        .when(system == "darwin", INSTALLERS["darwin"])
+        .when(system.startswith("linux"), INSTALLERS["linux"])
+        .otherwise(INSTALLERS["windows"])
+    )
+
+
+def xp_comment(about: Column) -> Column:
+    """A comment as some file explorers read it: little-endian UTF-16 that ends with a null."""
+    return F.concat(F.encode(about, "UTF-16LE"), F.unhex(F.lit("0000")))
+
+
 def diagnosis(attempts: Column) -> Column:
     """``reader: why`` of every failed attempt, in order."""
     return F.array_join(F.transform(attempts, lambda a: F.concat(a["reader"], F.lit(": "), a["why"])), "; ")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelark.operators._frames import per_frame, roots
+from framelark.operators.pixels import ellipse
 
 #: Pixel rows are this far apart in a label.
 ROW = 1 << 20
@@ -145,16 +146,72 @@ def plausible(shapes: DataFrame, large: int = 1500, aspect: float = 5, bright: f
     return shapes.where((F.col("area") < large) | (F.col("aspect") >= aspect) | (F.col("bright_frac") >= bright))
 
 
-def brightness_trim(pixels: DataFrame, px: DataFrame, k: float = 2.0) -> DataFrame:
-    """Labelled pixels brighter than ``median + k * 1.4826 * MAD`` of their component's box."""
-    box = stats(pixels).select("f", "label", "left_x", "top_y", "width", "height")
-    inside = px.join(box, "f").where(
-        F.col("x").between(F.col("left_x"), F.col("left_x") + F.col("width") - 1)
-        & F.col("y").between(F.col("top_y"), F.col("top_y") + F.col("height") - 1)
-    )
-    med = inside.groupBy("f", "label").agg(F.percentile("v", F.lit(0.5)).alias("med"))
-    spread = inside.join(med, ["f", "label"]).groupBy("f", "label", "med").agg(
-        F.percentile(F.abs(F.col("v") - F.col("med")), F.lit(0.5)).alias("mad")
-    )
-    own = pixels.join(px.select("f", "y", "x", "v"), ["f", "y", "x"]).join(spread, ["f", "label"])
-    return own.where(F.col("v") > F.col("med") + k * 1.4826 * F.col("mad")).select("f", "y", "x", "label")
+#: Limits of the trim (fixed values): box growth, deviations, pixels of sky, of a blob and of what is kept, dilation.
+TRIM = {"grow": 1.5, "sigma": 2.0, "sky": 100, "blob": 50, "keep": 30, "dilate": 3}
+
+
+def brightness_trim(pixels: DataFrame, px: DataFrame, limits: dict = TRIM) -> DataFrame:
+    """``(f, y, x, label)``: each component's pixels above the sky around it.
+
+    The sky are the other pixels of a box that has grown around the component;
+    with too few of them it stays as it is.  Above the sky's median by so many
+    deviations (by its MAD), blobs that are large enough stay, are dilated
+    inside the component, and go altogether if too little is left.  A frame is
+    one array in its task.
+    """
+
+    def kernel(t: pa.Table) -> pa.Table:
+        f, y, x, v = (t.column(c).to_numpy() for c in ("f", "y", "x", "v"))
+        label = np.nan_to_num(t.column("label").to_numpy(zero_copy_only=False).astype(float), nan=-1).astype(np.int64)
+        out: list[np.ndarray] = []
+        at = np.nonzero(np.append(True, f[1:] != f[:-1]))[0] if len(f) else []
+        for lo, hi in zip(at, np.append(at[1:], len(f)), strict=True):
+            ys, xs = y[lo:hi], x[lo:hi]
+            plane, tag = np.full((ys.max() + 1, xs.max() + 1), np.nan), np.full((ys.max() + 1, xs.max() + 1), -1, np.int64)
+            plane[ys, xs], tag[ys, xs] = v[lo:hi], label[lo:hi]
+            own = np.nonzero(label[lo:hi] >= 0)[0]
+            order = own[np.argsort(label[lo:hi][own], kind="stable")]
+            cut = np.nonzero(np.append(True, np.diff(label[lo:hi][order]) != 0))[0] if len(order) else []
+            for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
+                rows = order[a:b]
+                py, px_ = ys[rows], xs[rows]
+                stay = _trimmed(plane, tag == label[lo:hi][rows[0]], py, px_, limits)
+                out.append(lo + rows[stay[py, px_]])
+        keep = np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        names = ["f", "y", "x"]
+        return pa.table([*(t.column(c).take(pa.array(keep)) for c in names), pa.array(label[keep])], names=[*names, "label"])
+
+    kind = px.schema["f"].dataType.simpleString()
+    rows = px.select("f", "y", "x", "v").join(pixels.select("f", "y", "x", "label"), ["f", "y", "x"], "left")
+    rows = rows.join(pixels.select("f").distinct(), "f", "left_semi")
+    return per_frame(rows.select("f", "y", "x", "v", "label"), ["f"], kernel, f"f {kind}, y int, x int, label bigint", ["y", "x"])
+
+
+def _trimmed(plane: np.ndarray, own: np.ndarray, ys: np.ndarray, xs: np.ndarray, limits: dict) -> np.ndarray:
+    high, wide = np.ptp(ys), np.ptp(xs)
+    by, bx = (int(n * (limits["grow"] - 1) / 2) for n in (high, wide))
+    box = (slice(max(0, ys.min() - by), ys.max() + by + 1), slice(max(0, xs.min() - bx), xs.max() + bx + 1))
+    sky = plane[box][~own[box]]
+    sky = sky[~np.isnan(sky)]
+    if len(sky) < limits["sky"]:
+        return own
+    base = np.median(sky)
+    bright = own & (plane > base + limits["sigma"] * 1.4826 * np.median(np.abs(sky - base)))
+    spots = np.argwhere(bright)
+    at = np.full(plane.shape, -1)
+    at[tuple(spots.T)] = np.arange(len(spots))
+    wider = np.pad(at, 1, constant_values=-1)
+    pairs = [(at, wider[1 + dy : 1 + dy + plane.shape[0], 1 + dx : 1 + dx + plane.shape[1]]) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]
+    pairs = [(a[(a >= 0) & (b >= 0)], b[(a >= 0) & (b >= 0)]) for a, b in pairs]
+    root = roots(len(spots), np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs]))
+    large = np.bincount(root, minlength=len(spots))[root] >= limits["blob"]
+    left = np.zeros_like(own)
+    left[tuple(spots[large].T)] = True
+    r = limits["dilate"]
+    grown = np.zeros_like(own)
+    for dy, dx in ellipse(2 * r + 1) if left.any() else ():
+        y0, y1 = max(0, dy), plane.shape[0] + min(0, dy)
+        x0, x1 = max(0, dx), plane.shape[1] + min(0, dx)
+        grown[y0:y1, x0:x1] |= left[y0 - dy : y1 - dy, x0 - dx : x1 - dx]
+    left = grown & own
+    return left if left.sum() >= limits["keep"] else np.zeros_like(own)

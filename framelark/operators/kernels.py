@@ -123,37 +123,54 @@ def repaired_by_bridge(px: DataFrame, labelled: DataFrame, pad: int = 60, respon
                     planes[d][y[s], x[s]] = v[s]
                 if d == 0:
                     tag[y[s], x[s]] = label[s]
-            done = planes[0]
-            for k in np.unique(tag[tag >= 0]):
-                done = repaired_component(done, tag == k, planes.get(-1), planes.get(1), pad, response)
+            done = planes[0].copy()
             ys, xs = np.nonzero(tag >= 0)
-            out += [(g[lo], a, b, done[a, b]) for a, b in zip(ys.tolist(), xs.tolist(), strict=True)]
-        cols = list(zip(*out, strict=True)) if out else [()] * 4
+            order = np.argsort(tag[ys, xs], kind="stable")
+            ys, xs = ys[order], xs[order]
+            for s in np.split(np.arange(len(ys)), np.nonzero(np.diff(tag[ys, xs]))[0] + 1):
+                box = (slice(max(0, ys[s].min() - pad), ys[s].max() + pad + 1), slice(max(0, xs[s].min() - pad), xs[s].max() + pad + 1))
+                sides = [planes[d][box] if d in planes else None for d in (-1, 1)]
+                done[box] = repaired_component(done[box], tag[box] == tag[ys[s[0]], xs[s[0]]], *sides, pad, response)
+            out.append((np.full(len(ys), g[lo]), ys, xs, done[ys, xs]))
         kinds = (t.schema.field("frame").type, pa.int32(), pa.int32(), pa.int32())
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["f", "y", "x", "repaired"])
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+        return pa.table([pa.array(c).cast(k) for c, k in zip(cols, kinds, strict=True)], names=["f", "y", "x", "repaired"])
 
     kind = px.schema["f"].dataType.simpleString()
     return per_frame(rows.select("frame", "f", "y", "x", "v", "label"), ["frame"], kernel, f"f {kind}, y int, x int, repaired int", ["f", "y", "x"])
 
 
-def aligned(px: DataFrame, reference: int) -> DataFrame:
-    """``(f, dx, dy, response)``: the shift of each frame against a reference frame.
+def middle_frame(px: DataFrame):
+    """The frame in the middle of the sequence: of ``n`` the one with ``n // 2`` before it."""
+    frames = px.select("f").distinct()
+    n = frames.count()
+    return frames.orderBy("f").limit(n // 2 + 1).agg(F.max("f")).first()[0]
 
-    The reference frame (one frame) travels with every task.
+
+def _reference(px: DataFrame, reference: int):
+    """One frame as an array, sent once to every executor."""
+    t = px.where(F.col("f") == reference).select("y", "x", "v").toArrow()
+    y, x, v = (t.column(c).to_numpy() for c in ("y", "x", "v"))
+    base = np.zeros((int(y.max()) + 1, int(x.max()) + 1) if len(y) else (1, 1))
+    base[y, x] = v
+    return px.sparkSession.sparkContext.broadcast(base)
+
+
+def aligned(px: DataFrame, reference: int | None = None) -> DataFrame:
+    """``(f, dx, dy, response)``: the shift of each frame against a reference frame (the middle one).
+
+    The reference frame (one frame) is broadcast.
     """
-    rows = px.where(F.col("f") == reference).select("y", "x", "v").collect()  # one frame
-    base = np.zeros((max(r.y for r in rows) + 1, max(r.x for r in rows) + 1))
-    for r in rows:
-        base[r.y, r.x] = r.v
+    sent = _reference(px, middle_frame(px) if reference is None else reference)
 
     def kernel(t: pa.Table) -> pa.Table:
         f, y, x, v = (t.column(c).to_numpy() for c in ("f", "y", "x", "v"))
         at = starts_of(f)
         out = []
         for lo, hi in zip(at, np.append(at[1:], len(f)), strict=True):
-            plane = np.zeros_like(base)
+            plane = np.zeros_like(sent.value)
             plane[y[lo:hi], x[lo:hi]] = v[lo:hi]
-            out.append((f[lo], *phase_shift(base, plane)))
+            out.append((f[lo], *phase_shift(sent.value, plane)))
         cols = list(zip(*out, strict=True))
         kinds = (t.schema.field("f").type, pa.float64(), pa.float64(), pa.float64())
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["f", "dx", "dy", "response"])
@@ -162,6 +179,49 @@ def aligned(px: DataFrame, reference: int) -> DataFrame:
     return per_frame(px.select("f", "y", "x", "v"), ["f"], kernel, f"f {kind}, dx double, dy double, response double", ["y", "x"])
 
 
+def _dense(px: DataFrame, change, border_rows: list[str]) -> DataFrame:
+    """``(f, y, x, v)`` of frames that ``change(plane, figures)`` has made anew; figures are constant in a frame."""
+
+    def kernel(t: pa.Table) -> pa.Table:
+        f, y, x, v = (t.column(c).to_numpy() for c in ("f", "y", "x", "v"))
+        extra = [t.column(c).to_numpy(zero_copy_only=False) for c in border_rows]
+        out = np.zeros(len(f))
+        at = starts_of(f)
+        for lo, hi in zip(at, np.append(at[1:], len(f)), strict=True):
+            s = slice(lo, hi)
+            plane = np.zeros((int(y[s].max()) + 1, int(x[s].max()) + 1))
+            plane[y[s], x[s]] = v[s]
+            out[s] = change(plane, *(c[lo] for c in extra))[y[s], x[s]]
+        return pa.table([t.column("f"), t.column("y"), t.column("x"), pa.array(out)], names=["f", "y", "x", "v"])
+
+    kind = px.schema["f"].dataType.simpleString()
+    return per_frame(px.select("f", "y", "x", "v", *border_rows), ["f"], kernel, f"f {kind}, y int, x int, v double", ["y", "x"])
+
+
+def translated(px: DataFrame, shifts: DataFrame, border: str = "edge") -> DataFrame:
+    """``(f, y, x, v)``: frames moved by their ``shifts(f, dx, dy)``, bilinear, ``border`` as in numpy.pad."""
+    moves = px.join(shifts.select("f", "dx", "dy"), "f")
+    return _dense(moves, lambda plane, dx, dy: moved(plane, float(dx), float(dy), border), ["dx", "dy"])
+
+
+def aligned_frames(px: DataFrame, reference: int | None = None) -> DataFrame:
+    """``(f, y, x, v)``: all frames moved onto the reference frame (the middle one), borders replicated."""
+    back = aligned(px, reference).select("f", (-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy"))
+    return translated(px, back)
+
+
+def inpainted(px: DataFrame, mask: DataFrame, rounds: int = 400) -> DataFrame:
+    """``(f, y, x, v)``: masked pixels of each frame filled from their rim (see ``harmonic_fill``).
+
+    Frames without a masked pixel are left as they are; others hold NaN inside
+    the hole while they are an array in their task.
+    """
+    marked = mask.select("f", "y", "x", F.lit(1).alias("_m"))
+    rows = px.select("f", "y", "x", "v").join(marked, ["f", "y", "x"], "left")
+    rows = rows.withColumn("v", F.when(F.col("_m") == 1, F.lit(float("nan"))).otherwise(F.col("v"))).drop("_m")
+    return _dense(rows, lambda plane: harmonic_fill(np.nan_to_num(plane), np.isnan(plane), rounds), [])
+
+
 def star_angle(shifts: DataFrame, least: float = 0.5) -> DataFrame:
     """One row: the median direction of the shifts that are not trivial."""
     from framelark.functions.pixel import line_angle

@@ -16,14 +16,34 @@ def images(files: DataFrame, ext: str = "ext") -> DataFrame:
     return files.where(F.lower(F.ltrim(F.col(ext), F.lit("."))).isin(*IMAGE_SUFFIXES))
 
 
-def indexed(files: DataFrame, order: Sequence[str], sequence: Sequence[str] = ()) -> DataFrame:
+def indexed(files: DataFrame, order: Sequence[str], sequence: Sequence[str] = (), buckets: int = 64) -> DataFrame:
     """Add ``frame_idx``, the place of a file in its sequence, from 0.
 
     ``sequence`` names the columns that tell sequences apart (say, the folder):
-    each is ranked by itself, in parallel.  Without them all files are one.
+    each is ranked by itself.  Without them all files are one sequence, which
+    is ranked by ranges of the first of ``order``: a sample chooses where ranges
+    begin, counts by range (a few rows) tell where each starts.
     """
-    keys = [F.col(c) for c in sequence] or [F.lit(0)]
-    return files.withColumn("frame_idx", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint"))
+    if sequence:
+        w = Window.partitionBy(*sequence).orderBy(*order)
+        return files.withColumn("frame_idx", (F.row_number().over(w) - 1).cast("bigint"))
+    first = F.col(order[0])
+    sample = files.where(first.isNotNull()).select(first.alias("v")).distinct().orderBy(F.xxhash64("v")).limit(16 * buckets)
+    values = sorted(r.v for r in sample.collect())  # a bounded sample; any choice of cuts is right
+    at = sorted({values[len(values) * k // buckets] for k in range(1, buckets)}) if values else []
+
+    def bucket(cuts: list, below: int) -> Column:
+        if not cuts:
+            return F.lit(below)
+        mid = len(cuts) // 2
+        return F.when(first >= F.lit(cuts[mid]), bucket(cuts[mid + 1 :], below + mid + 1)).otherwise(bucket(cuts[:mid], below))
+
+    dealt = files.withColumn("_bucket", bucket(at, 0))  # nulls are in the first range, and first in it
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # ``buckets`` rows
+    starts = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    starts = starts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1 + F.col("_start")
+    return dealt.join(F.broadcast(starts), "_bucket").withColumn("frame_idx", place.cast("bigint")).drop("_bucket", "_start")
 
 
 def prefer_tiff(files: DataFrame, order: Sequence[str] = ("path",), stem: str = "stem", ext: str = "ext") -> DataFrame:
@@ -91,9 +111,24 @@ def at_least(files: DataFrame, frames: int = 3) -> DataFrame:
     return files.agg(F.when(n >= frames, n).otherwise(F.raise_error(F.lit("too few frames"))).alias("n_frames"))
 
 
-def without_edges(frames: DataFrame, skip: int, n_frames: int, index: str = "frame_idx") -> DataFrame:
+def within_policy(files: DataFrame, failed: Column, on_bad: str = "skip", most: int | None = None) -> DataFrame:
+    """The files that did not fail; with ``stop``, or beyond ``most`` skipped ones, an error in place of rows."""
+    if on_bad not in ("skip", "stop"):
+        raise ValueError("on_bad must be skip or stop")
+    limit = 0 if on_bad == "stop" else most
+    bad = F.coalesce(failed, F.lit(True))
+    if limit is None:
+        return files.where(~bad)
+    n = files.agg(F.count_if(bad).alias("_bad"))
+    too_many = F.raise_error(F.concat(F.lit("unreadable frames: "), F.col("_bad").cast("string"))).cast("boolean")
+    checked = files.crossJoin(F.broadcast(n)).where(F.when(F.col("_bad") > limit, too_many).otherwise(F.lit(True)))  # one row on the right
+    return checked.where(~bad).drop("_bad")
+
+
+def without_edges(frames: DataFrame, skip: int, index: str = "frame_idx") -> DataFrame:
     """Frames but for the first and last ``skip``."""
-    return frames.where(F.col(index).between(skip, n_frames - skip - 1))
+    last = frames.agg((F.max(index) - skip).alias("_last"))
+    return frames.crossJoin(F.broadcast(last)).where(F.col(index).between(F.lit(skip), F.col("_last"))).drop("_last")  # one row on the right
 
 
 def first_frames(files: DataFrame, limit: int | None, order: Sequence[str] = ("path",)) -> DataFrame:

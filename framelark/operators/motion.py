@@ -63,6 +63,11 @@ def peaks(votes: DataFrame, bin_size: int, farthest: int, total: int, each: int,
     return top.select(centre("ix").alias("dx"), centre("iy").alias("dy"), F.col("total").alias("votes"))
 
 
+def top_peaks(found: DataFrame, most: int = 10) -> DataFrame:
+    """The ``most`` peaks of most votes; equals in row-major order."""
+    return found.orderBy(F.desc("votes"), "dx", "dy").limit(most)
+
+
 def votes_table(votes: DataFrame, floors: tuple[int, ...] = (10, 15, 20, 25, 30)) -> DataFrame:
     """How many bins reach each of the vote floors."""
     rows = [F.struct(F.lit(t).alias("floor"), F.count_if(F.col("total") >= t).alias("bins")) for t in floors]
@@ -90,20 +95,23 @@ def chain_verified(found: DataFrame, obs: DataFrame, look_ahead: int, tolerance:
     Kept are those with a hit on both sides within ``look_ahead`` frames, with
     two on one side (the second at most two frames after the first), or with
     one hit if they lie within ``margin`` of the first or last frame.
+
+    The observations, of which there are fewer than expected places, are dealt
+    to the nine cells around them; hits are bits of one number a member.
     """
-    ks = [k for k in range(-look_ahead - 1, look_ahead + 2) if k]
-    step = F.explode(F.array(*map(F.lit, ks))).alias("k")
-    a = found.select("dxp", "dyp", "f", "x", "y", step)
+    far = look_ahead + 1
+    ks = [k for k in range(-far, far + 1) if k]
+    a = found.select("dxp", "dyp", "f", "x", "y", F.explode(F.array(*map(F.lit, ks))).alias("k"))
     a = a.select("*", (F.col("f") + F.col("k")).alias("fk"), (F.col("x") + F.col("k") * F.col("dxp")).alias("ex"), (F.col("y") + F.col("k") * F.col("dyp")).alias("ey"))
-    a = a.withColumn("g", F.explode(_around(F.col("ex"), F.col("ey"), tolerance))).select("*", "g.gx", "g.gy")
+    a = a.select("*", _cell(F.col("ex"), tolerance).alias("gx"), _cell(F.col("ey"), tolerance).alias("gy"))
     b = obs.select(F.col("f").alias("fk"), F.col("x").alias("ox"), F.col("y").alias("oy")).distinct()
-    b = b.select("*", _cell(F.col("ox"), tolerance).alias("gx"), _cell(F.col("oy"), tolerance).alias("gy"))
-    d2 = F.pow(F.col("ox") - F.col("ex"), 2) + F.pow(F.col("oy") - F.col("ey"), 2)
-    hits = a.join(b, ["fk", "gx", "gy"]).where(d2 <= tolerance**2).groupBy("dxp", "dyp", "f", "x", "y")
-    hits = hits.agg(F.collect_set("k").alias("ks"))  # of at most 2 * (look_ahead + 1) steps
+    b = b.select("*", F.explode(_around(F.col("ox"), F.col("oy"), tolerance)).alias("g")).select("fk", "ox", "oy", "g.*")
+    dx, dy = F.col("ox") - F.col("ex"), F.col("oy") - F.col("ey")
+    hits = a.join(b, ["fk", "gx", "gy"]).where(dx * dx + dy * dy <= tolerance**2).groupBy("dxp", "dyp", "f", "x", "y")
+    hits = hits.agg(F.bit_or(F.expr(f"shiftleft(1L, k + {far})")).alias("bits"))
 
     def side(sign: int) -> tuple[Column, Column]:
-        steps = F.transform(F.filter("ks", lambda k: k * sign > 0), lambda k: k * sign)
+        steps = F.filter(F.array(*map(F.lit, range(1, far + 1))), lambda k: F.getbit("bits", sign * k + far) == 1)
         first = F.array_min(F.filter(steps, lambda k: k <= look_ahead))
         return first, F.exists(steps, lambda k: (k > first) & (k <= first + 2))
 
@@ -129,14 +137,18 @@ def clusters(points: DataFrame, radius: float) -> DataFrame:
         f, x, y = (t.column(c).to_numpy().astype(np.int64) for c in ("f", "x", "y"))
         bounds = np.append(np.nonzero(np.append(True, f[1:] != f[:-1]))[0], len(f))
         lefts, rights = [], []
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            # rows of a frame are sorted by x: only points within the radius along x meet
-            stop = lo + np.searchsorted(x[lo:hi], x[lo:hi] + radius, side="right")
-            for i in range(lo, hi - 1):
-                j = np.arange(i + 1, stop[i - lo])
-                near = j[(x[j] - x[i]) ** 2 + (y[j] - y[i]) ** 2 <= radius**2]
-                lefts.append(np.full(len(near), i))
-                rights.append(near)
+        # rows of a frame are sorted by x: only points within the radius along x meet
+        frame = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        wide = int(x.max() - x.min() + radius) + 2 if len(x) else 1
+        key = frame * wide + x - (x.min() if len(x) else 0)
+        stop = np.searchsorted(key, key + int(radius), side="right")
+        after = stop - np.arange(len(f)) - 1
+        for part in np.array_split(np.arange(len(f)), max(1, int(after.sum()) >> 22)):
+            i = np.repeat(part, after[part])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[part]) - after[part], after[part])
+            near = (x[j] - x[i]) ** 2 + (y[j] - y[i]) ** 2 <= radius**2
+            lefts.append(i[near])
+            rights.append(j[near])
         root = roots(len(f), np.concatenate([*lefts, [0]]).astype(int), np.concatenate([*rights, [0]]).astype(int)) if len(f) else f
         name = y * ROW + x
         least = np.full(len(f), np.iinfo(np.int64).max)
@@ -148,6 +160,51 @@ def clusters(points: DataFrame, radius: float) -> DataFrame:
     return per_frame(spots, ["f"], kernel, f"f {kind}, x int, y int, label bigint", ["x", "y"])
 
 
+def directed_mask(points: DataFrame, angles: list[float], band: int, height: int, width: int, radius: int = 300, tolerance: float = 30, least: int = 2) -> DataFrame:
+    """``(f, y, x)``: clusters of points along one of ``angles``, drawn out.
+
+    Points that lie along a direction within ``radius`` form clusters; of those
+    with ``least`` points each gets a disk of ``band``, and points that follow
+    each other along the cluster's axis are joined by strokes as wide.
+    """
+    from framelark.operators import geometry, pixels
+
+    edges = geometry.directed_edges(points, angles, radius, tolerance)
+    spots = points.select("f", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct()
+    labels = linked_points(spots, edges)
+    large = labels.groupBy("f", "label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    kept = labels.join(large, ["f", "label"], "left_semi")
+    strokes = geometry.along_axis(kept.select("f", "label", "x", "y"), ["f", "label"])
+    strokes = strokes.select("f", F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x2").alias("x1"), F.col("y2").alias("y1"))
+    disks = pixels.dilated(kept.select("f", "y", "x"), pixels.disk(band), height, width)
+    drawn = pixels.brushed(strokes, band).where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+    return disks.unionByName(drawn).distinct()
+
+
+def linked_points(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(f, x, y, label)``: points ``(f, x, y)`` chained by ``edges(f, ax, ay, bx, by)`` of their frame."""
+    ends = edges.select("f", F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("bx"), F.col("by"))
+    rows = points.select("f", "x", "y", F.lit(None).cast("int").alias("bx"), F.lit(None).cast("int").alias("by")).unionByName(ends)
+
+    def kernel(t: pa.Table) -> pa.Table:
+        f, x, y = (t.column(c).to_numpy().astype(np.int64) for c in ("f", "x", "y"))
+        bx, by = (np.nan_to_num(t.column(c).to_numpy(zero_copy_only=False).astype(float), nan=-1).astype(np.int64) for c in ("bx", "by"))
+        frame = np.cumsum(np.append(True, f[1:] != f[:-1])) - 1
+        own = (frame << 42) | (y << 21) | x
+        spot = t.column("bx").is_null().to_numpy(zero_copy_only=False)
+        keys, first = np.unique(own[spot], return_index=True)
+        a, b = np.searchsorted(keys, own[~spot]), np.searchsorted(keys, ((frame << 42) | (by << 21) | bx)[~spot])
+        root = roots(len(keys), a, b)
+        at = np.nonzero(spot)[0][first]
+        names = (y * ROW + x)[at]
+        least = np.full(len(keys), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, names)
+        return pa.table([t.column("f").take(pa.array(at)), pa.array(x[at].astype(np.int32)), pa.array(y[at].astype(np.int32)), pa.array(least[root])], names=["f", "x", "y", "label"])
+
+    kind = points.schema["f"].dataType.simpleString()
+    return per_frame(rows.select("f", "x", "y", "bx", "by"), ["f"], kernel, f"f {kind}, x int, y int, label bigint")
+
+
 def long_clusters(labelled: DataFrame, least: int, elongation: float) -> DataFrame:
     """``(f, label, n, elongation)`` of clusters that are large and long enough.
 
@@ -160,13 +217,7 @@ def long_clusters(labelled: DataFrame, least: int, elongation: float) -> DataFra
     return n.where((F.col("n") >= least) & ((F.col("n") < 3) | (F.col("elongation") >= elongation)))
 
 
-def gap_filled(found: DataFrame, kept: DataFrame, most: int, tolerance: int) -> DataFrame:
-    """``(dxp, dyp, f, x, y)``: points made up where a motion lost its frame.
-
-    A frame in which a peak has ``found`` members but none ``kept`` gets the
-    points of a kept frame up to ``most`` before it, moved along, if a kept
-    frame up to ``most`` after it has a point where they would be.
-    """
+def _gap_filled_once(found: DataFrame, kept: DataFrame, most: int, tolerance: int) -> DataFrame:
     at = ["dxp", "dyp", "f"]
     empty = found.select(*at).distinct().join(kept, at, "left_anti")
     reach = F.sequence(F.lit(1), F.lit(most))
@@ -182,6 +233,24 @@ def gap_filled(found: DataFrame, kept: DataFrame, most: int, tolerance: int) ->
     return moved.join(sure, ["dxp", "dyp", "fv", "gx", "gy"]).where(d2 <= tolerance**2).select(*at, "x", "y").distinct()
 
 
+def gap_filled(found: DataFrame, kept: DataFrame, most: int, tolerance: int, passes: int = 1) -> DataFrame:
+    """``(dxp, dyp, f, x, y)``: points made up where a motion lost its frame.
+
+    A frame in which a peak has ``found`` members but none ``kept`` gets the
+    points of a kept frame up to ``most`` before it, moved along, if a kept
+    frame up to ``most`` after it has a point where they would be.  Further
+    ``passes`` take the points made up as kept, until one adds none.
+    """
+    cols = ["dxp", "dyp", "f", "x", "y"]
+    out = _gap_filled_once(found, kept, most, tolerance)
+    for _ in range(passes - 1):
+        more = _gap_filled_once(found, kept.select(*cols).unionByName(out.select(*cols)), most, tolerance)
+        if more.isEmpty():
+            break
+        out = out.unionByName(more)
+    return out
+
+
 def snapped(points: DataFrame, targets: DataFrame, radius: int) -> DataFrame:
     """``(f, y, x, ny, nx)``: each point's nearest target pixel within a square.
 

@@ -26,6 +26,21 @@ def mask_union(*masks: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def mask_union_all(*masks: DataFrame) -> DataFrame:
+    """All pixels of all masks, as often as they stand in them."""
+    out = masks[0].select(*PIXEL)
+    for m in masks[1:]:
+        out = out.unionAll(m.select(*PIXEL))
+    return out
+
+
+def inverted(pixels: DataFrame, extents: DataFrame) -> DataFrame:
+    """The pixels that a mask does not hold, of frames of ``extents(f, h, w)``."""
+    whole = extents.select("f", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"), "w")
+    whole = whole.select("f", "y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
+    return whole.join(pixels.select(*PIXEL), PIXEL, "left_anti")
+
+
 def mask_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, PIXEL, "left_anti")
 
@@ -100,6 +115,12 @@ def has_pixels(pixels: DataFrame) -> bool:
     return not pixels.isEmpty()
 
 
+def states(pixels: DataFrame, frames: DataFrame) -> DataFrame:
+    """``(f, marked)``: whether a frame of ``frames(f)`` has any pixel set."""
+    some = pixels.select("f", F.lit(True).alias("marked")).distinct()
+    return frames.select("f").join(some, "f", "left").select("f", F.coalesce("marked", F.lit(False)).alias("marked"))
+
+
 def repainted(px: DataFrame, pixels: DataFrame, fill: DataFrame, value: str = "v") -> DataFrame:
     """Masked samples replaced from ``fill(y, x, value)``; the others as they are."""
     marked = pixels.select(*PIXEL, F.lit(1).alias("_m"))
@@ -139,10 +160,12 @@ def over_frames(px: DataFrame, measure: Callable[[np.ndarray], np.ndarray], name
 
 
 def box_median(plane: np.ndarray, size: int) -> np.ndarray:
-    """Spatial median with replicated borders, the centre included."""
+    """Spatial median with replicated borders, the centre included; a strip of rows at a time."""
     r = size // 2
     wide = np.pad(plane, r, mode="edge")
-    return np.median(np.lib.stride_tricks.sliding_window_view(wide, (size, size)), axis=(2, 3))
+    windows = np.lib.stride_tricks.sliding_window_view(wide, (size, size))
+    step = max(1, (1 << 22) // (plane.shape[1] * size * size))
+    return np.concatenate([np.median(windows[at : at + step], axis=(2, 3)) for at in range(0, len(plane), step)])
 
 
 def box_sum(plane: np.ndarray, size: int) -> np.ndarray:

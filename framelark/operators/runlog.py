@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -72,6 +73,30 @@ def newest_release(tags: DataFrame, version: str, local: float = 0.0, order: str
     return tags.where(F.col(version) > local).orderBy(F.desc(version), F.asc(order)).limit(1)
 
 
+def releases(feed: DataFrame, body: str = "value") -> DataFrame:
+    """``(tag_name, body, assets)`` of a landed release feed, an object or an array in each row; broken rows give nothing."""
+    one = "struct<tag_name:string,body:string,assets:array<struct<name:string,browser_download_url:string>>>"
+    text = F.trim(F.col(body))
+    listed = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    rows = feed.select(F.explode(F.from_json(listed, f"array<{one}>")).alias("r")).select("r.*")
+    return rows.where(F.col("tag_name").isNotNull())
+
+
+@contextlib.contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs started inside can be stopped from elsewhere with ``cancel(spark, tag)``."""
+    spark.addTag(tag)
+    try:
+        yield
+    finally:
+        spark.removeTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> int:
+    """Stop all running jobs of a tag; how many there were."""
+    return len(spark.interruptTag(tag))
+
+
 def summary(counts: DataFrame, title: str = "Run summary") -> DataFrame:
     """One text row: a title and a line for every column of the one-row ``counts``."""
     lines = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in counts.columns]

@@ -61,17 +61,32 @@ def repaired_by_sky(px: DataFrame, mask: DataFrame, sky: DataFrame) -> DataFrame
     return out.withColumn("repaired", F.coalesce("_b", "v")).drop("_b")
 
 
+def _in_most_frames(px: DataFrame, measure, values: tuple[str, ...], needed) -> DataFrame:
+    """``(y, x, hits, ...)`` of positions whose ``needed(column, n)`` holds of the summed measures of all frames.
+
+    A kernel gives one number a pixel, so nothing is joined back; the number of
+    frames is a one-row aggregate beside the sums.
+    """
+    found = over_frames(px, measure, "hit", values)
+    n = px.agg(F.count_distinct("f").alias("n"))
+    sums = found.groupBy("y", "x").agg(F.count_if(F.col("hit").cast("int").bitwiseAND(1) > 0).alias("hits"), *[
+        F.count_if(F.col("hit").cast("int").bitwiseAND(1 << k) > 0).alias(f"hits{k}") for k in range(1, 4)
+    ])
+    return sums.crossJoin(F.broadcast(n)).where(needed(F.col("n")))  # one row on the right
+
+
 def hot_pixels(px: DataFrame, ratio: float = 2.0, least: int = 5, size: int = 9, fraction: float = 0.8) -> DataFrame:
     """``(y, x, hits)`` of positions far above their surroundings in most frames.
 
     A hit is a sample above ``least`` and above ``ratio`` times the spatial
     median (1 at least); ``int(n * fraction)`` hits are needed.
     """
-    n = px.agg(F.count_distinct("f")).first()[0]
-    med = over_frames(px, lambda p: box_median(p[..., 0], size), "med")
-    hit = (F.col("v") / F.greatest("med", F.lit(1.0)) > ratio) & (F.col("v") > least)
-    hits = px.join(med, ["f", "y", "x"]).groupBy("y", "x").agg(F.count_if(hit).alias("hits"))
-    return hits.where(F.col("hits") >= int(n * fraction))
+
+    def measure(p: np.ndarray) -> np.ndarray:
+        v = p[..., 0]
+        return ((v / np.maximum(box_median(v, size), 1.0) > ratio) & (v > least)).astype(float)
+
+    return _in_most_frames(px, measure, ("v",), lambda n: F.col("hits") >= F.floor(n * fraction)).select("y", "x", "hits")
 
 
 def coloured_hot_pixels(
@@ -82,16 +97,18 @@ def coloured_hot_pixels(
     Both conditions must hold often enough, each counted by itself: not
     necessarily in the same frames.
     """
-    n = bgr.agg(F.count_distinct("f")).first()[0]
-    sides = []
-    for c in ("b", "g", "r"):
-        med = over_frames(bgr, lambda p: box_median(p[..., 0], size), "med", (c,))
-        hot = (F.col(c) / F.greatest("med", F.lit(1.0)) > ratio) & (F.col(c) > least)
-        top = F.greatest("b", "g", "r")
-        out = top - (F.col("b") + F.col("g") + F.col("r") - top) / 2 >= excess
-        hits = bgr.join(med, ["f", "y", "x"]).groupBy("y", "x").agg(F.count_if(hot).alias("h"), F.count_if(out).alias("e"))
-        sides.append(hits.where((F.col("h") >= int(n * fraction)) & (F.col("e") >= int(n * fraction))).select("y", "x"))
-    return sides[0].union(sides[1]).union(sides[2]).distinct()
+
+    def measure(p: np.ndarray) -> np.ndarray:
+        hot = [(p[..., c] / np.maximum(box_median(p[..., c], size), 1.0) > ratio) & (p[..., c] > least) for c in range(3)]
+        top = p.max(axis=2)
+        out = top - (p.sum(axis=2) - top) / 2 >= excess
+        return sum((b.astype(float) * (1 << k) for k, b in enumerate((out, *hot))), np.zeros(p.shape[:2]))
+
+    def needed(n):
+        some = F.greatest("hits1", "hits2", "hits3") >= F.floor(n * fraction)
+        return some & (F.col("hits") >= F.floor(n * fraction))
+
+    return _in_most_frames(bgr, measure, ("b", "g", "r"), needed).select("y", "x")
 
 
 def ring_contrast(px: DataFrame, centre: float, inner: float, fraction: float, low: int = 2, high: int = 3) -> DataFrame:
@@ -99,7 +116,6 @@ def ring_contrast(px: DataFrame, centre: float, inner: float, fraction: float, l
 
     Rings hold in-image pixels only; ``ceil(n * fraction)`` hits are needed.
     """
-    n = px.agg(F.count_distinct("f")).first()[0]
 
     def measure(p: np.ndarray) -> np.ndarray:
         v = p[..., 0]
@@ -107,14 +123,13 @@ def ring_contrast(px: DataFrame, centre: float, inner: float, fraction: float, l
         c, i = v - far, inside_ring_mean(v, 1, 1) - far
         return ((np.abs(c) >= centre) & (np.abs(i) >= inner) & (c * i > 0)).astype(float)
 
-    return _persistent(over_frames(px, measure, "hit"), n, fraction)
+    return _persistent(px, measure, ("v",), fraction)
 
 
 def chromatic_defects(
     bgr: DataFrame, centre: float = 40, inner: float = 20, low: int = 5, high: int = 8, fraction: float = 0.8
 ) -> DataFrame:
     """``ring_contrast`` of a channel's excess over the two others, for any channel; borders replicated."""
-    n = bgr.agg(F.count_distinct("f")).first()[0]
 
     def measure(p: np.ndarray) -> np.ndarray:
         hit = np.zeros(p.shape[:2], bool)
@@ -123,16 +138,15 @@ def chromatic_defects(
             hit |= _stands_out(d, centre, inner, low, high)
         return hit.astype(float)
 
-    return _persistent(over_frames(bgr, measure, "hit", ("b", "g", "r")), n, fraction)
+    return _persistent(bgr, measure, ("b", "g", "r"), fraction)
 
 
 def white_defects(
     bgr: DataFrame, centre: float = 30, inner: float = 15, low: int = 5, high: int = 8, fraction: float = 0.8
 ) -> DataFrame:
     """``ring_contrast`` of the mean of the channels; borders replicated."""
-    n = bgr.agg(F.count_distinct("f")).first()[0]
     measure = lambda p: _stands_out(p.mean(axis=2), centre, inner, low, high).astype(float)
-    return _persistent(over_frames(bgr, measure, "hit", ("b", "g", "r")), n, fraction)
+    return _persistent(bgr, measure, ("b", "g", "r"), fraction)
 
 
 def _stands_out(d: np.ndarray, centre: float, inner: float, low: int, high: int) -> np.ndarray:
@@ -141,9 +155,15 @@ def _stands_out(d: np.ndarray, centre: float, inner: float, low: int, high: int)
     return (np.abs(c) >= centre) & (np.abs(i) >= inner) & (c * i > 0)
 
 
-def _persistent(hits: DataFrame, n: int, fraction: float) -> DataFrame:
-    out = hits.groupBy("y", "x").agg(F.count_if(F.col("hit") > 0).alias("hits"))
-    return out.where(F.col("hits") >= math.ceil(fraction * n))
+def _persistent(px: DataFrame, measure, values: tuple[str, ...], fraction: float) -> DataFrame:
+    return _in_most_frames(px, measure, values, lambda n: F.col("hits") >= F.ceil(n * fraction)).select("y", "x", "hits")
+
+
+def median_and_mad(px: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
+    """``(keys, med, mad)``: the median of a group, and the median distance from it."""
+    med = px.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("med"))
+    away = F.percentile(F.abs(F.col(value) - F.col("med")), F.lit(0.5)).alias("mad")
+    return px.join(med, keys).groupBy(*keys, "med").agg(away)
 
 
 def row_gain(plane: DataFrame, boost: float = 3.0, epsilon: float = 2.0, smooth: int | None = 1) -> DataFrame:

@@ -226,8 +226,12 @@ def _(spark, d):
 
 @query("phase_shifts")
 def _(spark, d):
-    px = views.px(spark, d)
-    return kernels.aligned(px, px.agg(F.min("f")).first()[0])
+    return kernels.aligned(views.px(spark, d))
+
+
+@query("aligned_frames")
+def _(spark, d):
+    return kernels.aligned_frames(views.px(spark, d))
 
 
 # --- masks and components -------------------------------------------------------
@@ -255,16 +259,16 @@ def _(spark, d):
     return pixels.mask_difference(pixels.mask(px, 140), pixels.mask(px, 160))
 
 
-@query("mask_union", f"WITH {PX} SELECT f, y, x FROM px WHERE v > 140")
+@query("mask_union", f"WITH {PX} SELECT f, y, x FROM px WHERE v > 150 OR v < 90")
 def _(spark, d):
     px = views.px(spark, d)
-    return pixels.mask_union(pixels.mask(px, 140), pixels.mask(px, 160))
+    return pixels.mask_union(pixels.mask(px, 150), px.where("v < 90"))
 
 
-@query("mask_intersection", f"WITH {PX} SELECT f, y, x FROM px WHERE v > 160")
+@query("mask_intersection", f"WITH {PX} SELECT f, y, x FROM px WHERE v > 120 AND v < 150")
 def _(spark, d):
     px = views.px(spark, d)
-    return pixels.mask_intersection(pixels.mask(px, 140), pixels.mask(px, 160))
+    return pixels.mask_intersection(pixels.mask(px, 120), px.where("v < 150"))
 
 
 LABELS = f"""{PX}, m AS (SELECT f, y, x FROM px WHERE v > 160),
@@ -626,11 +630,11 @@ def _(spark, d):
 
 @query(
     "brightness_lut",
-    f"WITH {PX} SELECT v, count(*) AS n, least(greatest(255 * pow(v / 255.0::DOUBLE, 0.5::DOUBLE), 0::DOUBLE), 255::DOUBLE) AS bright FROM px GROUP BY v",
+    f"WITH {PX} SELECT v, count(*) AS n, trunc(least(greatest(255 * pow(v / 255.0::DOUBLE, 0.5::DOUBLE), 0::DOUBLE), 255::DOUBLE))::INT AS bright FROM px GROUP BY v",
 )
 def _(spark, d):
     rows = views.px(spark, d).groupBy("v").agg(F.count("*").alias("n"))
-    return rows.select("v", "n", pixel.clip(255 * F.pow(F.col("v") / 255, F.lit(0.5))).alias("bright"))
+    return rows.select("v", "n", pixel.brightened(F.col("v"), 2.0).alias("bright"))
 
 
 @query(
@@ -639,9 +643,7 @@ def _(spark, d):
     SELECT y, x, med, median(abs(v - med)) AS mad FROM px JOIN m USING (y, x) GROUP BY y, x, med""",
 )
 def _(spark, d):
-    px = views.px(spark, d)
-    med = px.groupBy("y", "x").agg(F.percentile("v", F.lit(0.5)).alias("med"))
-    return px.join(med, ["y", "x"]).groupBy("y", "x", "med").agg(F.percentile(F.abs(F.col("v") - F.col("med")), F.lit(0.5)).alias("mad"))
+    return temporal.median_and_mad(views.px(spark, d), ["y", "x"])
 
 
 @query(
@@ -661,17 +663,21 @@ def _(spark, d):
     return motion.strongest(spots, 5).select("f", "y", "x", "v")
 
 
-@query("chromatic_defect_map")
-def _(spark, d):
-    return temporal.chromatic_defects(views.bgr(spark, d), centre=20, inner=5, low=2, high=3, fraction=0.2)
+#: The limits of a merge at the scale of frames of 8 by 8.
+SMALL_MERGE = {"aspect": 1.2, "angle": 30.0, "across": 2.0, "gap_least": 0.0, "gap_most": 8.0, "overlap": 1}
 
 
-@query("hough_votes")
-def _(spark, d):
-    return geometry.hough(pixels.mask(views.px(spark, d), 160), angles=36, least=4)
+def overlapping_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """``(f, mask_id, y, x)``: components of the left and of the right part of each frame, which share two columns."""
+    bright = pixels.mask(views.px(spark, d), 140)
+    left, right = (components.labelled(bright.where(s)).withColumn("side", F.lit(k)) for k, s in enumerate(("x <= 4", "x >= 3")))
+    order = Window.partitionBy("f").orderBy("side", "label")
+    return left.unionByName(right).withColumn("mask_id", F.dense_rank().over(order)).select("f", "mask_id", "y", "x")
 
 
 @query("collinear_merge")
 def _(spark, d):
-    lab = _labelled(spark, d).withColumn("mask_id", F.dense_rank().over(Window.partitionBy("f").orderBy("label")))
-    return geometry.merged_pieces(lab)
+    return geometry.merged_pieces(overlapping_pieces(spark, d), SMALL_MERGE)
+
+
+from framelark.plans import details  # noqa: E402, F401  registers the further queries

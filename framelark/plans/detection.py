@@ -58,8 +58,13 @@ def continuous_trails(
     lines = geometry.matched_lines(lines, angle, distance)
     t = F.radians("angle")
     along = F.col("x") * F.cos(t) + F.col("y") * F.sin(t)
-    off = F.abs(F.col("y") * F.cos(t) - F.col("x") * F.sin(t) - F.col("rho")) <= 1
-    ends = bright.select("f", "y", "x").join(lines, "f").where(off).groupBy("f", "angle", "rho").agg(F.min(along).alias("p"), F.max(along).alias("q"))
+    off = F.col("y") * F.cos(t) - F.col("x") * F.sin(t)
+    # pixels meet the lines of their frame and direction in bands of one pixel across
+    turns = F.broadcast(lines.select("angle").distinct())  # at most as many as directions are counted
+    spots = bright.select("f", "y", "x").crossJoin(turns).withColumn("_band", F.floor(off).cast("bigint"))
+    near = lines.withColumn("_band", F.explode(F.sequence(F.floor(F.col("rho") - 1).cast("bigint"), F.floor(F.col("rho") + 1).cast("bigint"))))
+    ends = spots.join(near, ["f", "angle", "_band"]).where(F.abs(off - F.col("rho")) <= 1)
+    ends = ends.groupBy("f", "angle", "rho").agg(F.min(along).alias("p"), F.max(along).alias("q"))
     at = lambda c: ((F.col(c) * F.cos(t) - F.col("rho") * F.sin(t)), (F.col(c) * F.sin(t) + F.col("rho") * F.cos(t)))
     (x1, y1), (x2, y2) = at("p"), at("q")
     segments = ends.select("f", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
@@ -108,9 +113,36 @@ def detected_mask(found: DataFrame, threshold: float = 0.5) -> DataFrame:
     return kept.select("f", F.explode(F.arrays_zip("ys", "xs")).alias("p")).select("f", F.col("p.ys").alias("y"), F.col("p.xs").alias("x")).distinct()
 
 
-def axis_extended(parts: DataFrame, blobs: DataFrame, height: int, width: int, least: int = 30, most: float = 3.0, share: float = 0.9) -> DataFrame:
+def dual_masks(found: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """``(f, y, x)`` of one set of detections after suppression, and after merging, of which the first is part."""
+    boxes = geometry.ranked(found)
+    roots = geometry.merged_boxes(boxes, threshold)
+    spots = boxes.join(roots, ["f", "rk"]).select("f", F.explode(F.arrays_zip("ys", "xs")).alias("p"))
+    merged = spots.select("f", F.col("p.ys").alias("y"), F.col("p.xs").alias("x")).distinct()
+    return detected_mask(found, threshold), merged
+
+
+def at_seams(parts: DataFrame, width: int, height: int, tile: int = 640, overlap: float = 0.2, reach: int = 8) -> DataFrame:
+    """``(f, label)`` of the parts whose box ends at an inner seam between tiles."""
+    spark = parts.sparkSession
+    rows = geometry.tile_origins(spark.createDataFrame([(width, height)], "w int, h int"), tile, overlap).collect()  # tiles of one frame
+    inner = lambda starts, size: sorted({v for s in starts for v in (s, s + tile) if 0 < v < size})
+    seams = inner({r.x0 for r in rows}, width), inner({r.y0 for r in rows}, height)
+    box = components.stats(parts).select(
+        "f", "label", F.col("left_x").alias("x0"), F.col("top_y").alias("y0"),
+        (F.col("left_x") + F.col("width")).alias("x1"), (F.col("top_y") + F.col("height")).alias("y1"),
+    )
+    return geometry.near_seams(box, *seams, reach).select("f", "label")
+
+
+def axis_extended(
+    parts: DataFrame, blobs: DataFrame, height: int, width: int, least: int = 30, most: float = 3.0, share: float = 0.9,
+    truncated: DataFrame | None = None,
+) -> DataFrame:
     """Labelled ``parts`` drawn out along their axis over the ``blobs`` that touch them.
 
+    With ``truncated(f, label)`` (see ``at_seams``) only those parts grow.
+
     A blob counts if it has ``least`` pixels and at most ``most`` times its
     part's; the drawn band has ``share`` of the part's thickness.
     """
@@ -121,6 +153,8 @@ def axis_extended(parts: DataFrame, blobs: DataFrame, height: int, width: int, l
     inner = grown.join(blobs.select("f", "y", "x"), ["f", "y", "x"], "left_semi")
     counts = inner.groupBy("f", "label").agg(F.count("*").alias("n")).join(sizes, ["f", "label"])
     fits = counts.where((F.col("n") >= least) & (F.col("n") <= most * F.col("own"))).select("f", "label")
+    if truncated is not None:
+        fits = fits.join(truncated, ["f", "label"], "left_semi")
     axes = components.axes(parts, "f", "label").join(fits, ["f", "label"], "left_semi").withColumn("t", F.radians("angle"))
     along = (F.col("x") - F.col("mx")) * F.cos("t") + (F.col("y") - F.col("my")) * F.sin("t")
     both = parts.select("f", "label", "y", "x").union(inner.select("f", "label", "y", "x"))

@@ -71,4 +71,31 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "timing")).first().sec_per_frame == 1.5
     mask = spark.createDataFrame([(0, 1, 2)], "f bigint, y int, x int")
     sinks.write_masks(mask, str(tmp_path / "masks"))
-    assert sinks.replace_mask(mask, str(tmp_path / "fg")) and not sinks.replace_mask(mask.limit(0), str(tmp_path / "none"))
+    assert sinks.replace_mask(mask, str(tmp_path / "fg")) and (tmp_path / "fg").exists()
+    assert not sinks.replace_mask(mask.limit(0), str(tmp_path / "fg")) and not (tmp_path / "fg").exists()
+    assert not sinks.replace_mask(mask.limit(0), str(tmp_path / "none"))
+    built = []
+    for _ in range(2):
+        assert sinks.cached(spark, str(tmp_path / "map"), lambda: built.append(1) or mask).count() == 1
+    assert len(built) == 1
+    assert sinks.writable(spark, str(tmp_path)) and not sinks.writable(spark, "/proc/none")
+    assert sinks.guarded(lambda: mask.write.parquet(str(tmp_path / "map")))[0] == sinks.FAILED
+    assert sinks.guarded(lambda: mask.write.mode("append").parquet(str(tmp_path / "map"))) == (sinks.DONE, "")
+
+
+def test_suppression_and_merging_of_one_set(spark):
+    box = lambda x0, s: (0, f"d{x0}", s, x0, 0, x0 + 10, 4, [0], [x0])
+    found = spark.createDataFrame([box(0, 0.9), box(4, 0.8), box(9, 0.7), box(40, 0.6)], "f bigint, det_id string, s double, x0 int, y0 int, x1 int, y1 int, ys array<int>, xs array<int>")
+    kept, merged = detection.dual_masks(found)
+    assert {r.x for r in kept.collect()} == {0, 9, 40} and {r.x for r in merged.collect()} == {0, 4, 9, 40}
+
+
+def test_only_parts_at_seams_grow(spark):
+    part = [(0, y, x) for y in (10, 11, 12) for x in range(5, 30)]
+    blob = [(0, 11, x) for x in range(31, 62)]
+    df = lambda rows: spark.createDataFrame(rows, "f bigint, y int, x int")
+    parts = components.labelled(df(part)).cache()
+    for tile, grown in ((30, True), (50, False)):
+        seams = detection.at_seams(parts, 90, 30, tile, 0.0, 3)
+        out = detection.axis_extended(parts, df(blob), 30, 80, truncated=seams)
+        assert (out.agg(F.max("x")).first()[0] > 60) == grown

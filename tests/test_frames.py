@@ -121,8 +121,121 @@ def test_suppression_is_greedy(spark):
 def test_angle_groups():
     a = np.array([1.0, 2, 3, 60, 61, 62, 120])
     groups = geometry.angle_groups(a, np.arange(7.0))
-    assert [sorted(g.tolist()) for g in groups] == [[0, 1, 2], [3, 4, 5]]
-    assert geometry.angle_groups(a[:4], np.ones(4)) == []
+    assert [g.tolist() for g in groups] == [[2, 1, 0], [5, 4, 3]]
+    assert geometry.angle_groups(a[:4], np.ones(4)) == [] and geometry.angle_groups(a[:0], a[:0]) == []
+    # the two largest decide, whatever a third group would say
+    near = np.array([1.0, 2, 3, 4, 5, 20, 21, 22, 23, 60, 61, 62])
+    assert geometry.angle_groups(near, np.ones(12)) == []
+
+
+def test_crossing_trails_are_parted(spark):
+    cross = line((20, 20), (220, 220), 8) | line((20, 220), (220, 20), 8)
+    alone = line((300, 20), (330, 220), 12)
+    rows = [(0, y, x) for x, y in cross | alone]
+    lab = components.labelled(spark.createDataFrame(rows, "f bigint, y int, x int")).cache()
+    out = geometry.crossings_split(lab, geometry.CROSSING | {"area": 2000}).toPandas()
+    two = geometry.crossing_lines(lab, geometry.CROSSING | {"area": 2000}).collect()
+    assert len(two) == 1 and sorted(round(v / 45) for v in (two[0].a0, two[0].a1)) == [1, 3]
+    sides = out.groupby(["label", "side"]).size()
+    assert len(sides) == 3 and sides.min() > 2000 and len(out) < len(rows)
+    assert geometry.crossings_split(lab).count() == len(rows) or len(cross) >= 5000
+
+
+def test_thinning_keeps_a_line():
+    mask = np.zeros((30, 60), bool)
+    mask[10:17, 5:55] = True
+    bones = geometry.thinned(mask)
+    assert bones.sum() < 60 and len(set(np.nonzero(bones)[1])) > 40
+    assert not geometry.thinned(np.zeros((3, 3), bool)).any()
+    assert len(geometry.line_runs(bones, 20, 30, 5)) == 1 and len(geometry.line_runs(np.zeros((4, 4), bool), 2, 1, 1)) == 0
+
+
+def greedy(boxes, threshold):
+    """Plain suppression of (rank, x0, y0, x1, y1) rows."""
+    kept = []
+    for k, *b in boxes:
+        def share(c):
+            w, h = min(b[2], c[2]) - max(b[0], c[0]), min(b[3], c[3]) - max(b[1], c[1])
+            return max(w, 0) * max(h, 0) / min((b[2] - b[0]) * (b[3] - b[1]), (c[2] - c[0]) * (c[3] - c[1]))
+        if all(share(c) < threshold for _, *c in kept):
+            kept.append((k, *b))
+    return [k for k, *_ in kept]
+
+
+def test_suppression_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for f in range(40):
+        for k in range(int(rng.integers(1, 30))):
+            x, y, w, h = (int(v) for v in rng.integers(1, 40, 4))
+            rows.append((f, k + 1, x, y, x + w, y + h))
+    df = spark.createDataFrame(rows, "f bigint, rk int, x0 int, y0 int, x1 int, y1 int")
+    want = {(f, k) for f in range(40) for k in greedy([r[1:] for r in rows if r[0] == f], 0.5)}
+    for together in (2000, 5):
+        assert {(r.f, r.rk) for r in geometry.suppressed(df, 0.5, together).collect()} == want
+    pairs = {(r.f, r.a, r.b) for r in geometry.overlapping(df, 0.5).collect()}
+    assert pairs == {(r.f, r.a, r.b) for r in geometry.overlapping(df, 0.5, cell=7).collect()} and pairs
+
+
+def test_brightness_trim(spark):
+    rng = np.random.default_rng(0)
+    plane = 20 + rng.integers(0, 5, (60, 90))
+    mask = {(y, x) for y in range(20, 40) for x in range(15, 75)}
+    plane[28:32, 15:75] = 200
+    plane[22, 20] = 200  # a star of one pixel
+    px = tall(spark, [plane])
+    lab = components.labelled(spark.createDataFrame([(0, y, x) for y, x in mask], "f bigint, y int, x int"))
+    got = {(r.y, r.x) for r in components.brightness_trim(lab, px).collect()}
+    assert got <= mask and {(y, x) for y in range(28, 32) for x in range(15, 75)} <= got
+    assert min(y for y, _ in got) == 25 and max(y for y, _ in got) == 34 and (22, 20) not in got
+    faint = tall(spark, [np.full((60, 90), 20)])
+    assert components.brightness_trim(lab, faint).count() == 0
+    assert components.brightness_trim(lab, px.where("y between 20 and 39 and x between 15 and 74")).count() == len(mask)
+
+
+def test_gaps_are_filled_to_the_fixpoint(spark):
+    kept = spark.createDataFrame([(10, 0, f, 10 * f, 5) for f in (0, 1, 4, 5)], "dxp int, dyp int, f bigint, x int, y int")
+    found = spark.createDataFrame([(10, 0, f, 0, 0) for f in range(6)], "dxp int, dyp int, f bigint, x int, y int")
+    assert {r.f for r in motion.gap_filled(found, kept, 1, 3, passes=3).collect()} == set()
+    far = spark.createDataFrame([(10, 0, f, 10 * f, 5) for f in (0, 2, 5)], "dxp int, dyp int, f bigint, x int, y int")
+    one, more = (motion.gap_filled(found, far, 2, 3, passes=p).collect() for p in (1, 5))
+    assert {(r.f, r.x) for r in one} == {(1, 10), (3, 30), (4, 40)} and {(r.f, r.x) for r in more} == {(1, 10), (3, 30), (4, 40)}
+
+
+def test_directed_clusters_become_a_mask(spark):
+    spots = [(0, 10 + 12 * k, 20) for k in range(5)] + [(0, 40, 90), (1, 5, 5)]
+    df = spark.createDataFrame(spots, "f bigint, x int, y int")
+    got = {(r.f, r.y, r.x) for r in motion.directed_mask(df, [0.0], 3, 100, 100, radius=30).collect()}
+    assert {(0, 20, x) for x in range(10, 59)} <= got and all(f == 0 and 17 <= y <= 23 for f, y, _ in got)
+
+
+def test_inpainting_on_tables(spark):
+    px = tall(spark, [np.tile(np.arange(9), (9, 1)) * 10] * 2)
+    hole = spark.createDataFrame([(0, y, x) for y in (3, 4) for x in (3, 4, 5)], "f bigint, y int, x int")
+    got = {(r.f, r.y, r.x): r.v for r in kernels.inpainted(px, hole).collect()}
+    assert all(abs(v - 10 * x) < 1 for (_, _, x), v in got.items()) and len(got) == 162
+
+
+def test_frames_come_back_to_the_middle_one(spark):
+    base = np.random.default_rng(4).integers(0, 255, (32, 32))
+    stack = [np.roll(base, (k - 2, 2 * (k - 2)), (0, 1)) for k in range(5)]
+    out = kernels.aligned_frames(tall(spark, stack)).toPandas()
+    assert kernels.middle_frame(tall(spark, stack)) == 2
+    for f, g in out.groupby("f"):
+        a = np.zeros((32, 32))
+        a[g.y, g.x] = g.v
+        assert np.abs(a[8:24, 8:24] - base[8:24, 8:24]).mean() < 40, f
+
+
+def test_jobs_are_cancelled_by_their_tag(spark):
+    with runlog.cancellable(spark, "run-1"):
+        assert spark.range(3).count() == 3 and "run-1" in spark.getTags()
+    assert "run-1" not in spark.getTags() and runlog.cancel(spark, "run-1") == 0
+
+
+def test_releases_of_a_landed_feed(spark):
+    rows = [('{"tag_name": "v1", "body": "b", "assets": []}',), ("broken",), (None,), ('[{"tag_name": "v2"}, {"body": "no tag"}]',)]
+    assert sorted(r.tag_name for r in runlog.releases(spark.createDataFrame(rows, "value string")).collect()) == ["v1", "v2"]
 
 
 def test_motion_needs_two_confirmations(spark):

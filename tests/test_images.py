@@ -69,3 +69,58 @@ def test_samples_and_sink(spark, tmp_path):
     images.write_frames(found, str(out), "tif16")
     file = bytes(spark.read.parquet(str(out)).first().file)
     assert (images.read_tiff(file) == a.astype(np.uint16) * 257).all()
+
+
+def test_jpeg_is_read_back_by_the_jvm_and_turned(spark, tmp_path):
+    y, x = np.mgrid[:45, :70]
+    a = np.stack([y * 5, x * 3, 255 - y * 2], axis=2).clip(0, 255).astype(np.uint8)
+    for name, orientation in (("plain.jpg", None), ("turned.JPEG", 6), ("gray.jpg", None)):
+        image = a[..., :1] if name == "gray.jpg" else a
+        (tmp_path / name).write_bytes(images.write_jpeg(image, 95, "made by a test", b"profile!" * 9000, (300, 300), orientation))
+    (tmp_path / "broken.jpg").write_bytes(b"no image")
+    assert images.header((tmp_path / "plain.jpg").read_bytes()[:120_000]) == (70, 45)
+    got = {r.stem: r for r in images.frames(spark, str(tmp_path)).collect()}
+    assert set(got) == {"plain", "turned", "gray", "broken"} and got["broken"].image is None and got["broken"].attempts[0].reader == "jvm"
+    array = lambda im: np.frombuffer(im.data, np.uint8).reshape(im.height, im.width, 3).astype(int)
+    assert np.abs(array(got["plain"].image) - a).max() <= 8 and np.abs(array(got["plain"].image) - a).mean() < 1.5
+    assert np.abs(array(got["turned"].image) - images.oriented(a, 6)).max() <= 8
+    assert np.abs(array(got["gray"].image) - a[..., :1]).max() <= 4
+
+
+@pytest.mark.parametrize("quality", [10, 50, 100])
+@pytest.mark.parametrize("size", [(1, 1), (8, 8), (17, 30)])
+def test_jpeg_of_noise(spark, tmp_path, quality, size):
+    a = RNG.integers(0, 65536, (*size, 3)).astype(np.uint16)
+    (tmp_path / "n.jpg").write_bytes(images.write_jpeg(a, quality))
+    (r,) = images.frames(spark, str(tmp_path)).collect()
+    back = np.frombuffer(r.image.data, np.uint8).reshape(*size, 3).astype(int)
+    assert r.image.bit_depth == 8 and np.abs(back - (a >> 8)).mean() < (2 if quality == 100 else 70)
+
+
+def test_files_with_metadata(spark, tmp_path):
+    a = RNG.integers(0, 256, (6, 5, 3)).astype(np.uint8)
+    found = spark.createDataFrame([("ä b", (5, 6, 3, 8, bytearray(a.tobytes()))), ("none", None)], f"stem string, image {images.IMAGE}")
+    for kind in ("jpeg", "png", "tif8", "tif16"):
+        out = str(tmp_path / kind)
+        rows = images.write_files(found, out, kind, icc=b"profile!", dpi=(300, 300), about="cleaned / by us").collect()
+        assert [(r.stem, r.path.rsplit("/", 1)[1]) for r in rows] == [("ä b", f"ä b.{images.SUFFIX[kind]}")]
+        data = open(rows[0].path, "rb").read()
+        assert len(data) == rows[0].n_bytes and images.header(data) == (5, 6)
+        if kind == "tif8":
+            _, tags = images._tiff_tags(data)
+            assert tags[images.SOFTWARE][0] == b"cleaned / by us\0" and tags[images.COMMENT][0] == "cleaned / by us\0".encode("utf-16-le")
+            assert tags[images.ICC][0] == b"profile!" and tags[images.X_RES] == (300, 1)
+        if kind == "tif16":
+            assert images.DESCRIPTION not in images._tiff_tags(data)[1] and (images.read_tiff(data) == a.astype(np.uint16) * 257).all()
+        (back,) = images.frames(spark, out).collect()
+        assert back.image.width == 5
+
+
+def test_mask_files(spark, tmp_path):
+    a = np.zeros((4, 5, 3), np.uint8)
+    a[1, 2] = 255
+    (tmp_path / "m.png").write_bytes(images.write_png(a))
+    assert [(r.y, r.x) for r in images.read_mask(spark, str(tmp_path / "m.png")).collect()] == [(1, 2)]
+    (tmp_path / "bad.png").write_bytes(b"x")
+    with pytest.raises(FileNotFoundError):
+        images.read_mask(spark, str(tmp_path / "bad.png"))

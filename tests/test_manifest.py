@@ -48,4 +48,27 @@ def test_suffixes_of_any_case(spark):
 def test_shared_metadata_and_edges(spark):
     rows = spark.createDataFrame([(0, "a"), (1, "b"), (2, None)], "frame_idx int, icc string")
     assert {r.icc for r in manifest.shared_metadata(rows, ["icc"]).collect()} == {"a"}
-    assert [r.frame_idx for r in manifest.without_edges(rows, 1, 3).collect()] == [1]
+    assert [r.frame_idx for r in manifest.without_edges(rows, 1).collect()] == [1]
+
+
+def test_index_without_a_sequence_is_by_ranges(spark):
+    rows = [(f"p{i * 7919 % 1000:04d}", i) for i in range(1000)] + [(None, -1), ("p0500", -2)]
+    df = spark.createDataFrame(rows, "path string, k int").repartition(7)
+    got = {r.k: r.frame_idx for r in manifest.indexed(df, ["path", "k"]).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert got == {k: i for i, (_, k) in enumerate(want)}
+    assert manifest.indexed(df.limit(0), ["path"]).count() == 0
+
+
+def test_policy_on_bad_files(spark):
+    df = spark.createDataFrame([("a", True), ("b", False), ("c", None)], "path string, bad boolean")
+    from pyspark.sql import functions as F
+
+    bad = F.col("bad")
+    assert [r.path for r in manifest.within_policy(df, bad).collect()] == ["b"]
+    assert [r.path for r in manifest.within_policy(df, bad, "skip", 2).collect()] == ["b"]
+    for policy in ({"on_bad": "stop"}, {"most": 1}):
+        with pytest.raises(PySparkException, match="unreadable frames: 2"):
+            manifest.within_policy(df, bad, **policy).collect()
+    with pytest.raises(ValueError):
+        manifest.within_policy(df, bad, "ask")
