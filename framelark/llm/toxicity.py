@@ -38,8 +38,6 @@ PARTS = re.compile(r"[\W_]+")
 SHORTEST, LONGEST = 3, 8
 #: Clean rows for each toxic one that a pattern may have, and a word before its exceptions count.
 RARELY, OFTEN = 0.05, 0.5
-#: Phrases that cancel a match whatever the labels say.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "circus clown")
 
 
 def fold(text: str | None) -> str:
@@ -151,9 +149,11 @@ def _g_statistic(c: Column, t: Column, clean: int, toxic: int) -> Column:
     return 2 * sum((F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
 
 
-def learn(rows: DataFrame, size: int = 2000) -> Lexicon:
+def learn(rows: DataFrame, size: int = 2000, phrases: tuple[str, ...] = ()) -> Lexicon:
     """A lexicon of at most ``size`` patterns and as many exceptions from ``(text, toxic)`` rows.
 
+    ``phrases`` are exceptions whatever the labels say.
+
     Without a toxic and a clean row there is nothing to learn, and every score
     is near zero.
     """
@@ -188,7 +188,7 @@ def learn(rows: DataFrame, size: int = 2000) -> Lexicon:
     ranked = sorted(weights, key=lambda p: (-weights[p], p))[:size]
     lexicon = Lexicon({p: weights[p] for p in ranked})
     tried = Lexicon(lexicon.weights | doubtful)
-    tried.weights |= exceptions(rows, tried)
+    tried.weights |= exceptions(rows, tried, size, phrases)
     if doubtful:
         for pattern, c, t in kept_matches(rows, tried):
             if c <= RARELY * t:
@@ -219,8 +219,8 @@ def kept_matches(rows: DataFrame, lexicon: Lexicon) -> list[tuple[str, int, int]
     return [tuple(r) for r in hits.agg(F.sum(1 - F.col("toxic")), F.sum("toxic")).collect()]  # of one lexicon
 
 
-def exceptions(rows: DataFrame, lexicon: Lexicon, size: int = 2000) -> dict[str, float]:
-    """Two-word phrases around matches that clean rows use and toxic ones hardly do."""
+def exceptions(rows: DataFrame, lexicon: Lexicon, size: int = 2000, phrases: tuple[str, ...] = ()) -> dict[str, float]:
+    """Two-word phrases around matches that clean rows use and toxic ones hardly do, and given ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = lexicon.automaton()
@@ -241,8 +241,7 @@ def exceptions(rows: DataFrame, lexicon: Lexicon, size: int = 2000) -> dict[str,
     near = rows.mapInArrow(run, "phrase string, weight double, toxic int").groupBy("phrase", "weight")
     near = near.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where("n - t >= 3 and t * 10 <= n")
     learned = {r["phrase"]: -r["weight"] for r in near.orderBy(F.desc("n"), "phrase").limit(size).collect()}
-    fixed = {f" {fold(e).strip()} ": e for e in EXCEPTIONS}
-    for phrase in fixed:
+    for phrase in map(fold, phrases):
         if any(p in phrase for p in lexicon.weights):
             learned.setdefault(phrase, -1.0)
     return learned

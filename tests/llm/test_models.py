@@ -115,6 +115,14 @@ def test_toxicity_folds_and_knows_exceptions(spark):
     assert toxicity.fold(None) == " " and toxicity.patterns_of("clown")[0] == " clown "
 
 
+def test_given_phrases_are_exceptions(spark):
+    docs, labels = toxic_rows(spark)
+    rows = docs.join(labels, "doc_id").select("text", "toxic")
+    for phrases, found in (((), True), (("Moron, gadget",), False)):
+        lexicon = toxicity.learn(rows, phrases=phrases)
+        assert bool(lexicon.matches(toxicity.fold("a moron gadget"), lexicon.automaton())) == found
+
+
 def test_matches_equal_all_pairs_of_spans():
     r = random.Random(3)
     for _ in range(300):
