@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framelark.functions import pixel, text
 from framelark.operators import components, geometry, kernels, manifest, motion, pixels, runlog, temporal
 from framelark.plans.catalogue import BGR, DET, FILES, OBS, PAIRS, PEAKS, PX, SEGMENTS, SKY, _images, _labelled, _pairs, _peaks, _segments, query
+from framelark.plans import detection
 from framelark.sources import images, sinks, views
 
 # --- image files ------------------------------------------------------------------
@@ -585,3 +586,53 @@ def _(spark, d):
     alone = lab.join(components.stats(lab).where("area = 1").select("f", "label"), ["f", "label"], "left_semi").select("f", "y", "x")
     filled = kernels.inpainted(px, alone).join(alone, ["f", "y", "x"], "left_semi")
     return filled.select("f", "y", "x", F.round("v", 1).alias("v"))
+
+
+# --- detection -----------------------------------------------------------------------------------
+
+
+@query(
+    "candidate_spots",
+    f"""WITH RECURSIVE {BGR}, levels AS (SELECT f * 2 AS f, y, x, greatest(r - (g + b) // 2, g - (r + b) // 2, 0)::INT AS v FROM bgr
+      UNION ALL SELECT f * 2 + 1, y, x, floor(0.114::DOUBLE * b + 0.587::DOUBLE * g + 0.299::DOUBLE * r + 0.5::DOUBLE)::INT FROM bgr),
+    nd AS (SELECT f, y, x, least(v - lag(v) OVER w, v - lead(v) OVER w) AS d FROM levels WINDOW w AS (PARTITION BY f % 2, y, x ORDER BY f)),
+    m AS (SELECT f, y, x, d FROM nd WHERE d > 20), {labels_sql("lab", "m")},
+    c AS (SELECT f, round_even(avg(x), 0)::INT AS x, round_even(avg(y), 0)::INT AS y FROM lab GROUP BY f, label HAVING count(*) >= 2)
+    SELECT c.f // 2 AS f, CASE WHEN c.f % 2 = 0 THEN 'color' ELSE 'gray' END AS ch, c.x, c.y, coalesce(m.d, 0) AS peak FROM c LEFT JOIN m USING (f, x, y)
+    QUALIFY row_number() OVER (PARTITION BY c.f ORDER BY peak DESC, c.x DESC, c.y DESC) <= 2""",
+)
+def _(spark, d):
+    return detection.candidates(views.bgr(spark, d), threshold=20, least=2, margin=0, width=4, height=4, most=2)
+
+
+@query(
+    "tiled_detection",
+    f"""WITH {BGR}, t AS (SELECT f, i AS x0, j AS y0, x, y, r FROM bgr, range(2) a(i), range(2) b(j) WHERE x BETWEEN i AND i + 2 AND y BETWEEN j AND j + 2)
+    SELECT f, x0 || '-' || y0 || '-0' AS det_id, count(*) FILTER (r > 150) / 9.0::DOUBLE AS s, min(x) FILTER (r > 150) AS x0, min(y) FILTER (r > 150) AS y0,
+      max(x) FILTER (r > 150) + 1 AS x1, max(y) FILTER (r > 150) + 1 AS y1, (count(*) FILTER (r > 150))::INT AS n FROM t GROUP BY f, t.x0, t.y0 HAVING count(*) FILTER (r > 150) > 0""",
+)
+def _(spark, d):
+    def bright(image):
+        mask = image[..., 2] > 150
+        return [(mask.mean(), mask)]
+
+    found = detection.tiled(views.bgr(spark, d), bright, 4, 4, tile=3, overlap=0.34)
+    return found.select("f", "det_id", "s", "x0", "y0", "x1", "y1", F.size("ys").alias("n"))
+
+
+@query(
+    "brightness_trim",
+    f"""WITH RECURSIVE {PX}, m AS (SELECT f, y, x FROM px WHERE v > 130), {labels_sql("lab", "m")},
+    b AS (SELECT f, label, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM lab GROUP BY f, label),
+    g AS (SELECT *, ((y1 - y0) * 0.5 / 2)::DOUBLE AS ey, ((x1 - x0) * 0.5 / 2)::DOUBLE AS ex FROM b),
+    sky AS (SELECT g.f, g.label, px.v FROM g JOIN px ON px.f = g.f AND px.y BETWEEN y0 - trunc(ey) AND y1 + trunc(ey) AND px.x BETWEEN x0 - trunc(ex) AND x1 + trunc(ex)
+      LEFT JOIN lab l ON l.f = px.f AND l.y = px.y AND l.x = px.x WHERE l.label IS DISTINCT FROM g.label),
+    med AS (SELECT f, label, median(v) AS base, count(*) AS n FROM sky GROUP BY f, label),
+    mad AS (SELECT f, label, base, n, median(abs(v - base)) AS mad FROM sky JOIN med USING (f, label) GROUP BY ALL)
+    SELECT lab.* FROM lab JOIN px USING (f, y, x) LEFT JOIN mad ON mad.f = lab.f AND mad.label = lab.label
+    WHERE coalesce(n, 0) < 4 OR px.v > base + 2.0::DOUBLE * 1.4826::DOUBLE * mad""",
+)
+def _(spark, d):
+    px = views.px(spark, d)
+    limits = components.TRIM | {"sky": 4, "blob": 1, "keep": 1, "dilate": 0}
+    return components.brightness_trim(components.labelled(pixels.mask(px, 130)), px, limits).select("f", "y", "x", "label")
