@@ -39,7 +39,7 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes whose anchors are found at once, and anchors sent at once.
 CHUNK, FLUSH = 1 << 20, 600_000
 #: Anchors of one bucket, and stretches and bytes of one block, and stretches of one anchor in a block.
-BUCKET, BLOCK, BLOCK_BYTES, HOT = 200_000, 12_000, 1_000_000, 5_000
+BUCKET, BLOCK, BLOCK_BYTES, HOT = 200_000, 12_000, 1_500_000, 10_000
 #: Tasks that the anchors of one hash are dealt to when they are joined.
 SALTS = 64
 #: The id of rows without one, which come last; ties tell them from a document of that id.
