@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -109,6 +110,7 @@ def _libc():
 
 def release() -> None:
     """Give unused memory back, so that a reused worker doesn't keep its peak."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     libc = _libc()
     if libc is not None and hasattr(libc, "malloc_trim"):
@@ -134,9 +136,8 @@ def hash_sample(df: DataFrame, keys: list[str], bound: int) -> DataFrame:
     """
     total = df.count()
     h = F.xxhash64(*keys)
-    if total > 4 * bound:
-        most = int(-(2**63) + 2**64 * min(1.0, (2 * bound + 1000) / total))
-        df = df.where(h < F.lit(most))
+    if total > 2 * (2 * bound + 1000):
+        df = df.where(h < F.lit(-(2**63) + 2**64 * (2 * bound + 1000) // total))
     return df.orderBy(h, *keys).limit(bound)
 
 

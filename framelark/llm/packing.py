@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from framelark.llm._spark import staged
 
 #: Words whose ids a worker remembers: so many of late, and as many from before.
-MEMORY = 250_000
+MEMORY = 150_000
 #: What no normalisation joins or splits: Latin letters and common signs (no combining marks).
 ODD = re.compile("[^\x00-\xff\u2010-\u2027\u2030-\u205e]")
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -247,10 +247,9 @@ def pack(
         "task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
     )
     histogram = {r["length"]: r["n"] for r in part.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = spark.createDataFrame(
-        best_fit(histogram, capacity) or [(0, 0, 0, 0, 0)],
-        "plan_length bigint, first_rank bigint, many bigint, first_bin bigint, offset bigint",
-    )
+    names = ["plan_length", "first_rank", "many", "first_bin", "offset"]
+    rows = best_fit(histogram, capacity) or [(0, 0, 0, 0, 0)]
+    plan = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names))
     place = F.col("base") + F.col("rank")
     dealt = (
         part.join(bases, ["task", "length"])

@@ -25,6 +25,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -631,22 +632,23 @@ def cleaned(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col:
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("id"),
         _tie(tied, F.col(id_col).isNull(), F.coalesce(text, F.lit(""))).alias("tie"),
-        text.alias("text"),
     )
     joined = keyed.join(flags.hint("shuffle_hash"), ["id", "tie"], "left").where(~F.coalesce("copy", F.lit(False)))
 
     @F.pandas_udf("string")
-    def without(text, spans):
-        import pandas as pd
-
-        return pd.Series(
-            [
-                x if s is None else kept(x.encode("utf-8", "surrogatepass"), merged(s)).decode("utf-8", "ignore")
-                for x, s in zip(text, spans, strict=True)
-            ],
-            dtype=object,
-        )
+    def without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, spans in batches:
+            yield pd.Series(
+                [
+                    x if s is None else kept(x.encode("utf-8", "surrogatepass"), merged(s)).decode("utf-8", "ignore")
+                    for x, s in zip(text, spans, strict=True)
+                ],
+                dtype=object,
+            )
+        release()
 
-    new = F.when(F.col("spans").isNull(), F.col("text")).otherwise(without("text", "spans"))
+    without = without.asNondeterministic()  # else it would run twice, for the filter and for the result
+    text = F.col("row")[text_col].cast("string")  # of the row, so that it travels once
+    new = F.when(F.col("spans").isNull(), text).otherwise(without(text, F.col("spans")))
     out = joined.withColumn("new", new).where(F.col("spans").isNull() | (F.col("new") != ""))
     return out.select(F.col("row").withField(text_col, F.col("new")).alias("row")).select("row.*")
