@@ -38,13 +38,13 @@ def matched_lines(found: DataFrame, angle: float, distance: float) -> DataFrame:
     turn = lambda c: F.least(F.floor(c * turns / 180.0).cast("int"), F.lit(turns - 1))
     steps = [(j, k) for j in (-1, 0, 1) for k in sorted({s % turns for s in (-1, 0, 1)})]
     near = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(k).alias("k")) for j, k in steps])).alias("s")
-    row = F.struct(*[found[c] for c in found.columns])
-    a = found.select("f", "angle", "rho", row.alias("a"), near)
-    a = a.select((F.col("f") + 1).alias("_f"), (band(F.col("rho")) + F.col("s.j")).alias("_band"), ((turn(F.col("angle")) + F.col("s.k")) % turns).alias("_turn"), "a")
-    b = found.select(F.col("f").alias("_f"), band(F.col("rho")).alias("_band"), turn(F.col("angle")).alias("_turn"), row.alias("b"))
+    line = F.struct("f", "angle", "rho")  # all that a match depends on; the other columns stay behind
+    a = found.select("angle", "rho", line.alias("a"), (F.col("f") + 1).alias("_f"), near)
+    a = a.select("_f", (band(F.col("rho")) + F.col("s.j")).alias("_band"), ((turn(F.col("angle")) + F.col("s.k")) % turns).alias("_turn"), "a")
+    b = found.select(F.col("f").alias("_f"), band(F.col("rho")).alias("_band"), turn(F.col("angle")).alias("_turn"), line.alias("b"))
     like = (angle_gap(F.col("a.angle"), F.col("b.angle")) < angle) & (F.abs(F.col("a.rho") - F.col("b.rho")) < distance)
-    both = a.join(b, ["_f", "_band", "_turn"]).where(like).select(F.explode(F.array("a", "b")).alias("r"))
-    return both.select("r.*").distinct()
+    both = a.join(b, ["_f", "_band", "_turn"]).where(like).select(F.explode(F.array("a", "b")).alias("r")).select("r.*")
+    return found.join(both.distinct(), ["f", "angle", "rho"], "left_semi").distinct()
 
 
 def segment_points(segments: DataFrame, band: int, edge: int, width: int, height: int) -> DataFrame:
