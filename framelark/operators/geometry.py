@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelark.functions.pixel import angle_gap, line_angle, rho
@@ -30,21 +30,28 @@ def matched_lines(found: DataFrame, angle: float, distance: float) -> DataFrame:
     """Lines with a like one in the frame before or after.
 
     Both differences must stay below their limits.  Each line meets those of
-    the next frame in bands of ``rho`` and of direction that are as wide as the
-    limits; bands of direction wrap around at 180 degrees.
+    the two frames in bands of ``rho`` and of direction twice as wide as the
+    limits, its own and the nearer one beside it; bands of direction wrap around
+    at 180 degrees.
     """
-    turns = max(1, int(180 / angle))  # equal bands, none narrower than the limit
-    band = lambda c: F.floor(c / distance).cast("bigint")
-    turn = lambda c: F.least(F.floor(c * turns / 180.0).cast("int"), F.lit(turns - 1))
-    steps = [(j, k) for j in (-1, 0, 1) for k in sorted({s % turns for s in (-1, 0, 1)})]
-    near = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(k).alias("k")) for j, k in steps])).alias("s")
-    line = F.struct("f", "angle", "rho")  # all that a match depends on; the other columns stay behind
-    a = found.select("angle", "rho", line.alias("a"), (F.col("f") + 1).alias("_f"), near)
-    a = a.select("_f", (band(F.col("rho")) + F.col("s.j")).alias("_band"), ((turn(F.col("angle")) + F.col("s.k")) % turns).alias("_turn"), "a")
-    b = found.select(F.col("f").alias("_f"), band(F.col("rho")).alias("_band"), turn(F.col("angle")).alias("_turn"), line.alias("b"))
-    like = (angle_gap(F.col("a.angle"), F.col("b.angle")) < angle) & (F.abs(F.col("a.rho") - F.col("b.rho")) < distance)
-    both = a.join(b, ["_f", "_band", "_turn"]).where(like).select(F.explode(F.array("a", "b")).alias("r")).select("r.*")
-    return found.join(both.distinct(), ["f", "angle", "rho"], "left_semi").distinct()
+    turns = max(1, int(90 / angle))  # equal bands, none narrower than twice the limit
+
+    def bands(at: Column, last: int | None = None) -> tuple[Column, Column]:
+        own = F.floor(at).cast("bigint")
+        own = own if last is None else F.least(own, F.lit(last))
+        return own, F.when(at - own < 0.5, own - 1).otherwise(own + 1)
+
+    band, beside = bands(F.col("rho") / (2 * distance))
+    turn, next_turn = bands(F.col("angle") * (turns / 180.0), turns - 1)
+    next_turn = F.pmod(next_turn, F.lit(turns))
+    spots = [F.struct((F.col("f") + s).alias("_f"), r.alias("_band"), t.alias("_turn")) for s in (-1, 1) for r in (band, beside) for t in (turn, next_turn)]
+    # all that a match depends on; the other columns stay behind, and the first like line is enough
+    a = found.select("f", "angle", "rho", F.explode(F.array(*spots)).alias("s")).select("f", "angle", "rho", "s.*")
+    b = found.select(F.col("f").alias("_g"), band.alias("_own"), turn.alias("_way"), F.col("angle").alias("_angle"), F.col("rho").alias("_rho"))
+    like = (angle_gap(F.col("angle"), F.col("_angle")) < angle) & (F.abs(F.col("rho") - F.col("_rho")) < distance)
+    same = (F.col("_f") == F.col("_g")) & (F.col("_band") == F.col("_own")) & (F.col("_turn") == F.col("_way"))
+    kept = a.join(b, same & like, "left_semi").select("f", "angle", "rho").distinct()
+    return found.join(kept, ["f", "angle", "rho"], "left_semi").distinct()
 
 
 def segment_points(segments: DataFrame, band: int, edge: int, width: int, height: int) -> DataFrame:
