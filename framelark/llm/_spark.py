@@ -100,6 +100,23 @@ def kept(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Remove the shuffle files of each query that ends inside the block.
+
+    Else they stay until the driver happens to collect its garbage, and the
+    steps of a long operator add up on the executors' disks.  A DataFrame must
+    not be run twice inside the block; ``staged`` and counts are runs of their own.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @functools.cache
 def _libc():
     try:

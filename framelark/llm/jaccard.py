@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelark.llm._spark import staged, trimmed
+from framelark.llm._spark import forget, join_unique, kept, shuffles_removed, staged, trimmed
 from framelark.llm.graph import components
 from framelark.llm.simhash import SEED, shingle_hashes
 
@@ -64,17 +64,25 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, node)`` of every row."""
+def numbered(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, node, size, w0, ...)`` of every row: size and bitmap of its text."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = _signed([node(t) for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), nodes], ["id", "node"])
+            nodes, sizes, bits = [], [], np.empty((batch.num_rows, WORDS), np.int64)
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                own = shingle_set(t, words)
+                nodes.append(node(t))
+                sizes.append(len(own))
+                bits[i] = bitmap(own)
+            cols = [batch.column(0), _signed(nodes), pa.array(sizes, pa.int32())]
+            cols += [pa.array(bits[:, i]) for i in range(WORDS)]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "node", "size", *_bits(WORDS)])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(trimmed(run), f"id {kind.simpleString()}, node bigint")
+    given = ", ".join(f"{w} bigint" for w in _bits(WORDS))
+    return source.mapInArrow(trimmed(run), f"id {kind.simpleString()}, node bigint, size int, {given}")
 
 
 def common_shingles(texts: DataFrame, rows: int, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +103,7 @@ def common_shingles(texts: DataFrame, rows: int, words: int) -> tuple[np.ndarray
 
 
 def buckets(texts: DataFrame, words: int, similarity: float, sent) -> DataFrame:
-    """``(h, node, size)``: the prefix shingles that different texts of like sizes have, and these texts."""
+    """``(h, node, size, n)``: the prefix shingles that different texts of like sizes have, these texts and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = sent.value
@@ -114,22 +122,19 @@ def buckets(texts: DataFrame, words: int, similarity: float, sent) -> DataFrame:
     order = Window.partitionBy("h").orderBy("size", "node")
     held = held.withColumn("less", F.lag("size").over(order)).withColumn("more", F.lead("size").over(order))
     least = similarity - 1e-9  # sets of less than this share of the other's size are not alike enough
-    return held.where((F.col("less") >= F.col("size") * least) | (F.col("size") >= F.col("more") * least)).select("h", "node", "size")
+    held = held.where((F.col("less") >= F.col("size") * least) | (F.col("size") >= F.col("more") * least))
+    return held.select("h", "node", "size", F.count(F.lit(1)).over(Window.partitionBy("h")).alias("n"))
 
 
 def described(texts: DataFrame, words: int) -> DataFrame:
-    """``(node, size, bits, shingles)`` of ``(node, text)``."""
+    """``(node, shingles)`` of ``(node, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-            cols = [batch.column(0), pa.array([len(s) for s in sets], pa.int32())]
-            cols.append(pa.array([bitmap(s).tolist() for s in sets], pa.list_(pa.int64())))
-            cols.append(pa.array([s.tobytes() for s in sets], pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, ["node", "size", "bits", "shingles"])
+            sets = pa.array([shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "shingles"])
 
-    found = texts.mapInArrow(trimmed(run), "node bigint, size int, bits array<bigint>, shingles binary")
-    return found.select("node", "size", *[F.col("bits")[i].alias(f"w{i}") for i in range(WORDS)], "shingles")
+    return texts.mapInArrow(trimmed(run), "node bigint, shingles binary")
 
 
 def jaccard(x: bytes, y: bytes) -> float:
@@ -171,73 +176,82 @@ def _pairs(left: DataFrame, right: DataFrame, words: int, similarity: float) ->
     return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
 
-def _meeting(sized: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of the small buckets that share enough of their prefixes to be alike.
+def _enough(shared: Column, l: Column, r: Column, similarity: float) -> Column:
+    """Sets that have at most so many shingles in both of their prefixes may be alike.
 
     What two sets have in common and not in both prefixes lies behind the prefix
-    of one of them; shingles of large buckets are taken as shared.
+    of one of them.
+    """
+    behind = F.ceil(F.greatest(l["size"], r["size"]) * F.lit(similarity) - 1e-9) - 1
+    return shared + behind >= (l["size"] + r["size"]) * F.lit(similarity / (1 + similarity)) - 1e-6
+
+
+def _meeting(held: DataFrame, brief: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of the small buckets that share enough of their prefixes to be alike, if not in one group.
+
+    Shingles of large buckets are taken as shared.
     """
-    small = F.col("n") <= SMALL
-    own = sized.groupBy("node").agg(F.first("size").alias("size"), F.count(F.when(~small, 1)).alias("large"))
-    rows = sized.where(small).select("h", F.struct("node", "size").alias("l"))
-    met = rows.join(rows.withColumnRenamed("l", "r"), "h").where((F.col("l.node") < F.col("r.node")) & _near(F.col("l"), F.col("r"), 0, similarity))
-    met = met.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(F.count("*").alias("m"))
+    l, r = F.col("l"), F.col("r")
+    rows = held.where(F.col("n") <= SMALL).select("h", F.struct("node", "size").alias("l"))
+    met = rows.join(rows.withColumnRenamed("l", "r"), "h").where((l["node"] < r["node"]) & _near(l, r, 0, similarity))
+    met = met.groupBy(l["node"].alias("a"), r["node"].alias("b")).agg(F.count("*").alias("m"))
     for side, to in (("a", "l"), ("b", "r")):
-        met = met.join(own.select(F.col("node").alias(side), F.struct("size", "large").alias(to)), side)
-    behind = F.ceil(F.greatest("l.size", "r.size") * F.lit(similarity) - 1e-9) - 1
-    most = F.col("m") + F.least("l.large", "r.large") + behind
-    enough = most >= (F.col("l.size") + F.col("r.size")) * F.lit(similarity / (1 + similarity)) - 1e-6
-    return met.where(enough).select("a", "b")
+        met = met.join(brief.select(F.col("node").alias(side), F.struct("size", "large", "label").alias(to)), side)
+    most = F.col("m") + F.least("l.large", "r.large")
+    return met.where((l["label"] != r["label"]) & _enough(most, l, r, similarity)).select("a", "b")
 
 
-def linked(held: DataFrame, fetch, similarity: float) -> DataFrame:
-    """``(node, label)`` of the texts of ``held(h, node, size)`` that have links, one label a group.
+def linked(held: DataFrame, texts: DataFrame, fetch, similarity: float) -> DataFrame:
+    """``(node, label)`` of the texts that have links, one label a group.
 
-    First whole small buckets and parts of the large ones, then other parts of
-    those that still hold several groups, at last all pairs across groups in them.
-    ``fetch`` describes the texts of some nodes (see ``described``).
+    First meet whole small buckets of ``held(h, node, size, n)`` and parts of the
+    large ones, then other parts of those that still hold several groups, at
+    last all pairs across groups in them.  ``texts`` has size and bitmap of each
+    text, ``fetch`` the sets of some (see ``described``).
     """
-    sized = staged(held.join(held.groupBy("h").agg(F.count("*").alias("n")), "h"))
-    small = staged(_meeting(sized, similarity))
-    sized = sized.where(F.col("n") > SMALL)
-    used = small.select(F.explode(F.array("a", "b")).alias("node")).union(sized.select("node")).distinct()
-    known = fetch(used)
-    brief, sets = known.drop("shingles"), known.select("node", "shingles")
+    met = held.groupBy("node").agg(F.count("*").alias("shared"), F.count(F.when(F.col("n") > SMALL, 1)).alias("large"))
+    brief = staged(texts.select("node", "size", *_bits(WORDS)).join(met, "node"))  # without a shared one there is no link
+    sized = staged(held.where(F.col("n") > SMALL))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        l, r = (brief.select(F.col("node").alias(c), F.struct("size", *_bits(WORDS)).alias(to)) for c, to in (("a", "l"), ("b", "r")))
-        pairs = pairs.join(l, "a").join(r, "b").where(_near(F.col("l"), F.col("r"), WORDS, similarity)).select("a", "b")
-        pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-        pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        return staged(pairs.where(_jaccard("sa", "sb") >= similarity - 1e-9).select("a", "b"))
-
-    links, named = None, None
+        l, r = F.col("l"), F.col("r")
+        for side, to in (("a", "l"), ("b", "r")):
+            pairs = pairs.join(brief.select(F.col("node").alias(side), F.struct("size", "shared", *_bits(WORDS)).alias(to)), side)
+        enough = _enough(F.least("l.shared", "r.shared"), l, r, similarity)
+        pairs = staged(pairs.where(enough & _near(l, r, WORDS, similarity)).select("a", "b"))
+        sets = staged(fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        often = pairs.groupBy("a").agg(F.count("*").alias("m"))
+        firsts = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).join(often, "a")
+        both = join_unique(pairs, firsts, ["a"], "m", pairs.count())
+        both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        found = staged(both.where(_jaccard("sa", "sb") >= similarity - 1e-9).select("a", "b"))
+        forget(pairs, sets)
+        return found
+
+    found = held.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     for number in range(3):
-        rows = sized
-        if named is None:
-            rows = rows.withColumn("label", F.col("node"))
-        else:
-            rows = rows.join(named.withColumnRenamed("name", "label"), "node", "left")
-            rows = rows.withColumn("label", F.coalesce("label", "node"))
-            counts = rows.groupBy("h", "label").agg(F.count("*").alias("m"))
-            most = counts.groupBy("h").agg(F.max_by("label", "m").alias("most"), F.count("*").alias("groups"))
-            rows = staged(rows.join(most.where("groups > 1"), "h"))
-            if rows.isEmpty():
-                break
+        named = components(found).select("node", F.col("label").alias("name"))
+        rows = sized.join(named.withColumnRenamed("name", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        counts = rows.groupBy("h", "label").agg(F.count("*").alias("m"))
+        most = counts.groupBy("h").agg(F.max_by("label", "m").alias("most"), F.count("*").alias("groups"))
+        rows = staged(rows.join(most.where("groups > 1"), "h"))
+        if number and rows.isEmpty():
+            break
         if number < 2:
             rows = rows.withColumn("p", F.pmod(F.xxhash64("node", "h", F.lit(number)), F.ceil(F.col("n") / PART)))
             pairs = _pairs(rows, rows, 0, similarity)
-            pairs = pairs if number else pairs.union(small).distinct()
+            if not number:
+                grouped = brief.join(named.withColumnRenamed("name", "label"), "node", "left")
+                grouped = grouped.withColumn("label", F.coalesce("label", "node"))
+                pairs = pairs.union(_meeting(held, grouped, similarity)).distinct()
         else:  # of two texts in different groups one is not in the largest
             chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-            rows = rows.join(brief.drop("size"), "node")
+            rows = rows.join(brief.select("node", *_bits(WORDS)), "node")
             right = rows.withColumn("p", F.pmod(F.xxhash64("node"), chunks).cast("int"))
             left = rows.where(F.col("label") != F.col("most")).withColumn("p", F.explode(F.sequence(F.lit(0), chunks - 1)))
             pairs = _pairs(left, right, WORDS, similarity)
-        found = confirmed(pairs)
-        links = found if links is None else links.unionByName(found)
-        named = components(links).select("node", F.col("label").alias("name"))
-    return named.withColumnRenamed("name", "label")
+        found = found.unionByName(confirmed(pairs))
+    return components(found)
 
 
 def near_duplicates(
@@ -253,19 +267,25 @@ def near_duplicates(
         raise ValueError("similarity must be above 0 and at most 1")
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = staged(numbered(docs, id_col, text_col))
-    least = prints.groupBy("node").agg(F.min("id").alias("least"))
-    texts = source.select("text")
-    sent = spark.sparkContext.broadcast(common_shingles(texts, prints.count(), words))
-    held = staged(buckets(texts, words, similarity, sent))
-
-    def fetch(nodes: DataFrame) -> DataFrame:
-        needed = least.join(nodes, "node", "left_semi").withColumnRenamed("least", "id")
-        known = staged(described(source.join(needed, "id").select("node", "text"), words))
-        if known.count() > known.select("node").distinct().count():  # rows that repeat id and text
-            known = known.dropDuplicates(["node"])
-        return known
-
-    rooted = staged(least.join(linked(held, fetch, similarity), "node", "left").withColumn("label", F.coalesce("label", "node")))
-    best = rooted.groupBy("label").agg(F.min("least").alias("component"))
-    return prints.join(rooted.join(best, "label").select("node", "component"), "node").select("id", "component")
+
+    def grouped() -> DataFrame:
+        same = [F.first(c).alias(c) for c in ("size", *_bits(WORDS))]
+        texts = staged(prints.groupBy("node").agg(F.min("id").alias("least"), *same))
+        sent = spark.sparkContext.broadcast(common_shingles(source.select("text"), prints.count(), words))
+        held = staged(buckets(source.select("text"), words, similarity, sent))
+
+        def fetch(nodes: DataFrame) -> DataFrame:
+            needed = texts.select("node", F.col("least").alias("id")).join(nodes, "node", "left_semi")
+            named = source.join(needed, "id").select("node", "text")
+            return described(named.dropDuplicates(["node"]) if repeated else named, words)
+
+        repeated = prints.count() > prints.select("id").distinct().count()  # rows that repeat id and text
+        found = linked(held, texts, fetch, similarity)
+        rooted = staged(texts.select("node", "least").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        best = rooted.groupBy("label").agg(F.min("least").alias("component"))
+        return rooted.join(best, "label").select("node", "component")
+
+    with shuffles_removed(spark):
+        prints = staged(numbered(docs, words, id_col, text_col))
+        named = kept(grouped)
+    return prints.select("id", "node").join(named, "node").select("id", "component")

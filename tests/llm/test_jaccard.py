@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from framelark.llm import jaccard
+from framelark.llm import _spark, jaccard
 
 
 def sets_of(texts):
@@ -74,3 +74,40 @@ def test_bitmaps_never_differ_more_than_sets():
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.8], rng.integers(0, 2**63, 30, dtype=np.uint64)]))
         differ = (jaccard.bitmap(a) ^ jaccard.bitmap(b)).view(np.uint64)
         assert np.bitwise_count(differ).sum() <= len(np.setxor1d(a, b))
+
+
+def test_sets_are_made_for_the_texts_of_pairs_that_are_left_alone(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "COMMON", 0)  # as in a large table, of which the sample knows little
+    made, staged = [], jaccard.staged
+
+    def noted(df):
+        out = staged(df)
+        made.append(out.count() if "shingles" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", noted)
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    shared = " ".join(word() for _ in range(60))  # all meet, but next to none are alike
+    texts = [f"{shared} " + " ".join(word() for _ in range(1500 if k % 2 else 300)) for k in range(40)]
+    texts += [texts[0] + " " + word(), texts[1] + " " + word()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    stay = corpus_pipeline.one_of_near_copies(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in stay) == list(range(40))
+    assert 0 < sum(made) <= 8
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    import time
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before, set_to = held(), spark.conf.get(name)
+    with _spark.shuffles_removed(spark):
+        assert _spark.staged(spark.range(5000).repartition(7, "id")).count() == 5000
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before and spark.conf.get(name) == set_to
