@@ -1,4 +1,9 @@
-"""Texts that share shingles, found exactly.
+"""Texts that share shingles, found by SimHash and completed exactly.
+
+Fingerprints that link at a few differing bits (see ``simhash``) propose groups
+first; each of their texts is confirmed against the group's first on the whole
+sets of shingles.  Texts that are in one group by then are not compared again.
+What fingerprints can't tell is found exactly:
 
 Two sets of a Jaccard similarity of ``t`` share one of the first
 ``n - ceil(t n) + 1`` shingles of each, in any order that all texts use
@@ -21,10 +26,12 @@ from pyspark.sql import functions as F
 
 from framelark.llm._spark import forget, join_unique, kept, shuffles_removed, staged, trimmed
 from framelark.llm.graph import components
-from framelark.llm.simhash import SEED, shingle_hashes
+from framelark.llm.simhash import SEED, links, majority, shingle_hashes
 
 #: Words of 64 bits in a bitmap.
 WORDS = 8
+#: Fingerprints link at so many differing bits, found by so many blocks.
+RADIUS, BLOCKS = 7, 9
 #: About so many texts tell which shingles are common; at most so many of them are kept.
 SAMPLE, COMMON = 10_000, 1 << 18
 #: Buckets of so many texts are compared at once; larger ones by parts of about PART first.
@@ -41,7 +48,10 @@ def node(text: str | None) -> int:
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """The distinct shingle hashes of a text, sorted."""
-    found = list(shingle_hashes(text, words))
+    return _distinct(list(shingle_hashes(text, words)))
+
+
+def _distinct(found: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
 
@@ -65,24 +75,37 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def numbered(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, node, size, w0, ...)`` of every row: size and bitmap of its text."""
+    """``(id, node, fp, size, w0, ...)`` of every row: fingerprint, size and bitmap of its text."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, bits = [], [], np.empty((batch.num_rows, WORDS), np.int64)
+            nodes, fps, sizes, bits = [], [], [], np.empty((batch.num_rows, WORDS), np.int64)
             for i, t in enumerate(batch.column(1).to_pylist()):
-                own = shingle_set(t, words)
+                found = list(shingle_hashes(t, words))
+                own = _distinct(found)
                 nodes.append(node(t))
+                fps.append(majority(found))
                 sizes.append(len(own))
                 bits[i] = bitmap(own)
-            cols = [batch.column(0), _signed(nodes), pa.array(sizes, pa.int32())]
+            cols = [batch.column(0), _signed(nodes), _signed(fps), pa.array(sizes, pa.int32())]
             cols += [pa.array(bits[:, i]) for i in range(WORDS)]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "node", "size", *_bits(WORDS)])
+            yield pa.RecordBatch.from_arrays(cols, ["id", "node", "fp", "size", *_bits(WORDS)])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     given = ", ".join(f"{w} bigint" for w in _bits(WORDS))
-    return source.mapInArrow(trimmed(run), f"id {kind.simpleString()}, node bigint, size int, {given}")
+    return source.mapInArrow(trimmed(run), f"id {kind.simpleString()}, node bigint, fp bigint, size int, {given}")
+
+
+def proposed(texts: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Pairs ``(a, b)`` of texts by SimHash: the first of each group of linked fingerprints, and every other of it."""
+    prints = staged(texts.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    named = components(links(prints.select("fp"), radius, blocks)).withColumnRenamed("node", "fp")
+    rooted = staged(prints.join(named, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    best = rooted.groupBy("label").agg(F.min("first").alias("a"), F.count("*").alias("m"))
+    heads = staged(join_unique(rooted, best, ["label"], "m", rooted.count()).select("fp", "n", "a"))
+    pairs = join_unique(texts.select("fp", F.col("node").alias("b")), heads, ["fp"], "n", texts.count())
+    return pairs.where("a < b").select("a", "b")
 
 
 def common_shingles(texts: DataFrame, rows: int, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,12 +224,13 @@ def _meeting(held: DataFrame, brief: DataFrame, similarity: float) -> DataFrame:
     return met.where((l["label"] != r["label"]) & _enough(most, l, r, similarity)).select("a", "b")
 
 
-def linked(held: DataFrame, texts: DataFrame, fetch, similarity: float) -> DataFrame:
+def linked(held: DataFrame, texts: DataFrame, first: DataFrame, fetch, similarity: float) -> DataFrame:
     """``(node, label)`` of the texts that have links, one label a group.
 
-    First meet whole small buckets of ``held(h, node, size, n)`` and parts of the
-    large ones, then other parts of those that still hold several groups, at
-    last all pairs across groups in them.  ``texts`` has size and bitmap of each
+    The pairs ``first`` of texts are confirmed first, then those that meet in
+    whole small buckets of ``held(h, node, size, n)`` and parts of the large
+    ones, then in other parts of those that still hold several groups, at last
+    all pairs across groups in them.  ``texts`` has size and bitmap of each
     text, ``fetch`` the sets of some (see ``described``).
     """
     met = held.groupBy("node").agg(F.count("*").alias("shared"), F.count(F.when(F.col("n") > SMALL, 1)).alias("large"))
@@ -228,7 +252,7 @@ def linked(held: DataFrame, texts: DataFrame, fetch, similarity: float) -> DataF
         forget(pairs, sets)
         return found
 
-    found = held.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    found = confirmed(first)
     for number in range(3):
         named = components(found).select("node", F.col("label").alias("name"))
         rows = sized.join(named.withColumnRenamed("name", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -269,7 +293,7 @@ def near_duplicates(
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def grouped() -> DataFrame:
-        same = [F.first(c).alias(c) for c in ("size", *_bits(WORDS))]
+        same = [F.first(c).alias(c) for c in ("fp", "size", *_bits(WORDS))]
         texts = staged(prints.groupBy("node").agg(F.min("id").alias("least"), *same))
         sent = spark.sparkContext.broadcast(common_shingles(source.select("text"), prints.count(), words))
         held = staged(buckets(source.select("text"), words, similarity, sent))
@@ -280,7 +304,7 @@ def near_duplicates(
             return described(named.dropDuplicates(["node"]) if repeated else named, words)
 
         repeated = prints.count() > prints.select("id").distinct().count()  # rows that repeat id and text
-        found = linked(held, texts, fetch, similarity)
+        found = linked(held, texts, proposed(texts, RADIUS, BLOCKS), fetch, similarity)
         rooted = staged(texts.select("node", "least").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
         best = rooted.groupBy("label").agg(F.min("least").alias("component"))
         return rooted.join(best, "label").select("node", "component")

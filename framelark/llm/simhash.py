@@ -11,7 +11,7 @@ as soon as all its lanes are beyond the radius.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -47,8 +47,13 @@ def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: str | None, words: int) -> int:
     """A bit is 1 if it is set in over half of the shingles' hashes; zero without a word."""
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The fingerprint of a text whose shingles have these hashes."""
     total, n = np.zeros(BITS, dtype=np.int64), 0
-    for h in shingle_hashes(text, words):
+    for h in hashes:
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int64)
         n += len(h)
@@ -282,8 +287,9 @@ def representatives(
 ) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each near-duplicate group does.
 
-    A group is linked by at least ``similarity`` of the shingles in common, found
-    exactly (see ``jaccard``) as fingerprints of 64 bits cannot tell 0.8 from less.
+    A group is linked by at least ``similarity`` of the shingles in common:
+    fingerprints within 7 bits propose links, which are confirmed on the whole
+    sets, and an exact search adds those that fingerprints miss (see ``jaccard``).
     Of a group the document of the smallest id stays; a null id counts as the
     largest, and different texts of one id are ordered by their hash.  Rows that
     repeat id and text are copies too: one of them stays, whatever its other
