@@ -163,12 +163,14 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], count: str,
 
     Keys that hold more than a thousandth of all ``total`` left rows are joined
     by broadcast (there are at most a thousand of them), so no task gets them
-    as a whole; all other keys meet by a shuffle.
+    as a whole; all other keys meet by a shuffle.  The hint keeps it at that:
+    Spark does not count the rows that an explode adds and would broadcast
+    either side, however large.
     """
     most = max(HEAVY_LEAST, total // HEAVY_SHARE)
     heavy = F.broadcast(right.where(F.col(count) > most))
     rest = left.join(heavy.select(*keys), keys, "left_anti")
-    return left.join(heavy, keys).unionByName(rest.join(right.where(F.col(count) <= most), keys))
+    return left.join(heavy, keys).unionByName(rest.join(right.where(F.col(count) <= most).hint("merge"), keys))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

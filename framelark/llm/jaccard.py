@@ -194,7 +194,7 @@ def _pairs(left: DataFrame, right: DataFrame, words: int, similarity: float) ->
     """Texts of different groups in one part of a bucket that may be alike, once each."""
     l, r = F.col("l"), F.col("r")
     pack = lambda df, to: df.select("h", "p", F.struct("node", "label", "size", *_bits(words)).alias(to))
-    met = pack(left, "l").join(pack(right, "r"), ["h", "p"])
+    met = pack(left, "l").join(pack(right, "r").hint("merge"), ["h", "p"])  # an explode may hide a side's size
     met = met.where((l["label"] != r["label"]) & _near(l, r, words, similarity))
     return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 

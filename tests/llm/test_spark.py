@@ -26,6 +26,15 @@ def test_heavy_keys_are_joined_like_others(spark, monkeypatch):
     assert got == Counter((k, i, n[k]) for i, k in enumerate(keys) if k is not None)
 
 
+def test_rows_of_an_explode_are_not_broadcast(spark):
+    left = spark.range(300).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(35))).alias("k"))
+    sizes = left.groupBy("k").agg(F.count("*").alias("n"))
+    out = _spark.join_unique(left, sizes, ["k"], "n", 300 * 36)
+    assert len(out.collect()) == 300 * 36
+    plan = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("BroadcastHashJoin") <= 2 and "SortMergeJoin" in plan  # by broadcast only with the heavy keys
+
+
 def test_staged_tables_go_with_their_block(spark):
     def make():
         a = _spark.staged(spark.range(5))
