@@ -2,7 +2,8 @@
 
 Distance joins never compare all points of two frames: points are dealt to
 grid cells as wide as the largest distance, and meet those of the nine cells
-around under an equi-join.
+around under an equi-join.  Spark does not count the rows that such a dealing
+adds and would broadcast sides of any size, so these joins ask for a merge.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def pairs(obs: DataFrame, nearest: int, farthest: int) -> DataFrame:
         _cell(F.col("x"), farthest).alias("gx"), _cell(F.col("y"), farthest).alias("gy"),
     )
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
-    out = a.join(b, ["f", "ch", "gx", "gy"]).select("f", "ch", "x", "y", dx.alias("dx"), dy.alias("dy"))
+    out = a.join(b.hint("merge"), ["f", "ch", "gx", "gy"]).select("f", "ch", "x", "y", dx.alias("dx"), dy.alias("dy"))
     return out.where((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).between(nearest**2, farthest**2))
 
 
@@ -107,7 +108,7 @@ def chain_verified(found: DataFrame, obs: DataFrame, look_ahead: int, tolerance:
     b = obs.select(F.col("f").alias("fk"), F.col("x").alias("ox"), F.col("y").alias("oy")).distinct()
     b = b.select("*", F.explode(_around(F.col("ox"), F.col("oy"), tolerance)).alias("g")).select("fk", "ox", "oy", "g.*")
     dx, dy = F.col("ox") - F.col("ex"), F.col("oy") - F.col("ey")
-    hits = a.join(b, ["fk", "gx", "gy"]).where(dx * dx + dy * dy <= tolerance**2).groupBy("dxp", "dyp", "f", "x", "y")
+    hits = a.join(b.hint("merge"), ["fk", "gx", "gy"]).where(dx * dx + dy * dy <= tolerance**2).groupBy("dxp", "dyp", "f", "x", "y")
     hits = hits.agg(F.bit_or(F.expr(f"shiftleft(1L, k + {far})")).alias("bits"))
 
     def side(sign: int) -> tuple[Column, Column]:

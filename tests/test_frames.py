@@ -245,6 +245,22 @@ def test_motion_needs_two_confirmations(spark):
     assert [(r.f, r.x) for r in kept] == [(2, 20)]
 
 
+def shuffled(df):
+    """Whether no side of an equi-join is broadcast, in the plan as it ran."""
+    rows = df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    return rows, "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_dealt_observations_are_not_broadcast(spark):
+    obs = spark.range(60).select(F.col("id").alias("f"), (10 * F.col("id")).cast("int").alias("x"), F.lit(0).alias("y"), F.lit("gray").alias("ch"))
+    moves, good = shuffled(motion.pairs(obs, 5, 15))
+    assert len(moves) == 59 and good
+    found = obs.select(F.lit(10).alias("dxp"), F.lit(0).alias("dyp"), "f", "x", "y")
+    kept, good = shuffled(motion.chain_verified(found, obs, 5, 4, 60))
+    assert len(kept) == 60 and good
+
+
 def test_snap_keeps_points_without_target(spark):
     p = spark.createDataFrame([(0, 5, 5), (0, 50, 50)], "f bigint, y int, x int")
     t = spark.createDataFrame([(0, 4, 5), (0, 6, 5)], "f bigint, y int, x int")
