@@ -220,18 +220,18 @@ def long_clusters(labelled: DataFrame, least: int, elongation: float) -> DataFra
 
 def _gap_filled_once(found: DataFrame, kept: DataFrame, most: int, tolerance: int) -> DataFrame:
     at = ["dxp", "dyp", "f"]
-    empty = found.select(*at).distinct().join(kept, at, "left_anti")
+    empty = found.select(*at).distinct().join(kept.hint("merge"), at, "left_anti")
     reach = F.sequence(F.lit(1), F.lit(most))
     moved = kept.withColumn("back", F.explode(reach)).select(
         "dxp", "dyp", (F.col("f") + F.col("back")).alias("f"),
         (F.col("x") + F.col("back") * F.col("dxp")).alias("x"), (F.col("y") + F.col("back") * F.col("dyp")).alias("y"),
     )
-    moved = moved.join(empty, at).withColumn("fwd", F.explode(reach))
+    moved = moved.join(empty.hint("merge"), at).withColumn("fwd", F.explode(reach))
     moved = moved.select("*", (F.col("f") + F.col("fwd")).alias("fv"), (F.col("x") + F.col("fwd") * F.col("dxp")).alias("ex"), (F.col("y") + F.col("fwd") * F.col("dyp")).alias("ey"))
     moved = moved.withColumn("g", F.explode(_around(F.col("ex"), F.col("ey"), tolerance))).select("*", "g.gx", "g.gy")
     sure = kept.select("dxp", "dyp", F.col("f").alias("fv"), F.col("x").alias("ox"), F.col("y").alias("oy"), _cell(F.col("x"), tolerance).alias("gx"), _cell(F.col("y"), tolerance).alias("gy"))
     d2 = F.pow(F.col("ox") - F.col("ex"), 2) + F.pow(F.col("oy") - F.col("ey"), 2)
-    return moved.join(sure, ["dxp", "dyp", "fv", "gx", "gy"]).where(d2 <= tolerance**2).select(*at, "x", "y").distinct()
+    return moved.join(sure.hint("merge"), ["dxp", "dyp", "fv", "gx", "gy"]).where(d2 <= tolerance**2).select(*at, "x", "y").distinct()
 
 
 def gap_filled(found: DataFrame, kept: DataFrame, most: int, tolerance: int, passes: int = 1) -> DataFrame:

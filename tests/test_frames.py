@@ -261,6 +261,12 @@ def test_dealt_observations_are_not_broadcast(spark):
     assert len(kept) == 60 and good
 
 
+def test_dealt_gap_points_are_not_broadcast(spark):
+    found = spark.range(60).select(F.lit(10).alias("dxp"), F.lit(0).alias("dyp"), F.col("id").alias("f"), (10 * F.col("id")).cast("int").alias("x"), F.lit(0).alias("y"))
+    rows, good = shuffled(motion.gap_filled(found, found.where("f % 10 != 5"), 2, 3))
+    assert {(r.f, r.x) for r in rows} == {(f, 10 * f) for f in range(5, 60, 10)} and good
+
+
 def test_snap_keeps_points_without_target(spark):
     p = spark.createDataFrame([(0, 5, 5), (0, 50, 50)], "f bigint, y int, x int")
     t = spark.createDataFrame([(0, 4, 5), (0, 6, 5)], "f bigint, y int, x int")
