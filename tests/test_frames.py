@@ -267,6 +267,13 @@ def test_dealt_gap_points_are_not_broadcast(spark):
     assert {(r.f, r.x) for r in rows} == {(f, 10 * f) for f in range(5, 60, 10)} and good
 
 
+def test_long_lines_do_not_overflow(spark):
+    rows = [(f, 0, 10, 60_000, 10) for f in (0, 1)] + [(0, 90_000, 7, 0, 7), (3, 0, 10, 60_000, 10)]
+    found = geometry.lines(spark.createDataFrame(rows, "f bigint, x1 int, y1 int, x2 int, y2 int"))
+    assert sorted((r.f, r.angle, r.rho) for r in found.collect()) == [(0, 0, 7), (0, 0, 10), (1, 0, 10), (3, 0, 10)]
+    assert sorted((r.f, r.x2) for r in geometry.matched_lines(found, 0.1, 2).collect()) == [(0, 60_000), (1, 60_000)]
+
+
 def test_snap_keeps_points_without_target(spark):
     p = spark.createDataFrame([(0, 5, 5), (0, 50, 50)], "f bigint, y int, x int")
     t = spark.createDataFrame([(0, 4, 5), (0, 6, 5)], "f bigint, y int, x int")
