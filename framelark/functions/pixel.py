@@ -71,7 +71,7 @@ def rho(x: Column, y: Column, dx: Column, dy: Column) -> Column:
     """Signed distance from the origin of a line, the same from either end."""
     x, y, dx, dy = (c.cast("double") for c in (x, y, dx, dy))  # products of integers may overflow
     flip = F.when((dx < 0) | ((dx == 0) & (dy < 0)), -1.0).otherwise(1.0)
-    return flip * (y * dx - x * dy) / F.sqrt(dx * dx + dy * dy)
+    return flip * (y * dx - x * dy) / F.sqrt(dx * dx + dy * dy) + F.lit(0.0)  # no negative zero
 
 
 def unit_vector(angle: Column) -> tuple[Column, Column]:

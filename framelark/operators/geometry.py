@@ -45,12 +45,13 @@ def matched_lines(found: DataFrame, angle: float, distance: float) -> DataFrame:
     turn, next_turn = bands(F.col("angle") * (turns / 180.0), turns - 1)
     next_turn = F.pmod(next_turn, F.lit(turns))
     spots = [F.struct((F.col("f") + s).alias("_f"), r.alias("_band"), t.alias("_turn")) for s in (-1, 1) for r in (band, beside) for t in (turn, next_turn)]
-    # all that a match depends on; the other columns stay behind, and the first like line is enough
-    a = found.select("f", "angle", "rho", F.explode(F.array(*spots)).alias("s")).select("f", "angle", "rho", "s.*")
-    b = found.select(F.col("f").alias("_g"), band.alias("_own"), turn.alias("_way"), F.col("angle").alias("_angle"), F.col("rho").alias("_rho"))
+    # all that a match depends on, once for equal lines; the other columns stay behind, and the first like line is enough
+    once = found.select("f", "angle", "rho").distinct()
+    a = once.select("f", "angle", "rho", F.explode(F.array(*spots)).alias("s")).select("f", "angle", "rho", "s.*")
+    b = once.select(F.col("f").alias("_g"), band.alias("_own"), turn.alias("_way"), F.col("angle").alias("_angle"), F.col("rho").alias("_rho"))
     like = (angle_gap(F.col("angle"), F.col("_angle")) < angle) & (F.abs(F.col("rho") - F.col("_rho")) < distance)
     same = (F.col("_f") == F.col("_g")) & (F.col("_band") == F.col("_own")) & (F.col("_turn") == F.col("_way"))
-    kept = a.join(b, same & like, "left_semi").select("f", "angle", "rho").distinct()
+    kept = a.join(b.hint("merge"), same & like, "left_semi").select("f", "angle", "rho").distinct()
     return found.join(kept, ["f", "angle", "rho"], "left_semi").distinct()
 
 

@@ -274,6 +274,16 @@ def test_long_lines_do_not_overflow(spark):
     assert sorted((r.f, r.x2) for r in geometry.matched_lines(found, 0.1, 2).collect()) == [(0, 60_000), (1, 60_000)]
 
 
+def test_equal_lines_are_matched_once(spark):
+    lines = spark.range(2000).select((F.col("id") % 2).alias("f"), F.lit(0.0).alias("angle"), F.lit(10.0).alias("rho"), "id")
+    out = geometry.matched_lines(lines, 0.1, 10)
+    assert out.count() == 2000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Generate")[-1]  # equal lines are one before they are dealt to bands
+    flat = spark.createDataFrame([(0, 5, 0, 2, 0), (0, 0, 9, 0, 3)], "f bigint, x1 int, y1 int, x2 int, y2 int")
+    assert [str(r.rho) for r in geometry.lines(flat).collect()] == ["0.0", "0.0"]
+
+
 def test_snap_keeps_points_without_target(spark):
     p = spark.createDataFrame([(0, 5, 5), (0, 50, 50)], "f bigint, y int, x int")
     t = spark.createDataFrame([(0, 4, 5), (0, 6, 5)], "f bigint, y int, x int")
