@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from framelark.llm._spark import forget, groups_of, join_unique, release, staged, trimmed
+from framelark.llm._spark import forget, groups_of, join_unique, release, shuffles_removed, staged, trimmed
 
 GRAM = 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -41,8 +41,8 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 CHUNK, FLUSH = 1 << 20, 600_000
 #: Anchors of one bucket, and stretches and bytes of one block, and stretches of one anchor in a block.
 BUCKET, BLOCK, BLOCK_BYTES, HOT = 200_000, 12_000, 1_500_000, 10_000
-#: Tasks that the anchors of one hash are dealt to when they are joined.
-SALTS = 64
+#: Frequent anchors that are broadcast (a few MB); with more of them, tasks that the anchors of one hash are dealt to when they are joined.
+FEW, SALTS = 100_000, 64
 #: The id of rows without one, which come last; ties tell them from a document of that id.
 LAST = 2**63 - 1
 
@@ -504,38 +504,43 @@ def marked(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col:
     ``copies(id, tie)`` go whole: their text also stands in an earlier document.
     ``marks(id, tie, spans)`` has the byte spans to remove from the others.
     """
-    docs, facts, tied = _facts(_documents(docs, id_col, text_col))
-    total, rows = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
-    buckets = max(32, int(total) * 2 // ((width - GRAM + 2) * BUCKET))
-    long = F.col("n_bytes") >= width
-    first = F.min(F.struct("id", "tie")).alias("first")
-    firsts = facts.where(long).groupBy("sha").agg(first, F.count("*").alias("n")).where("n > 1")
-    later = join_unique(facts.where(long), firsts, ["sha"], "n", rows).where(F.struct("id", "tie") > F.col("first"))
-    copies = staged(later.select("id", "tie").distinct())
-
-    pool = docs.where(F.octet_length("text") >= width).select("id", "tie", "text")
-    packed = pool.mapInArrow(_find_anchors(width, buckets), "bucket int, kind int, rows binary")
-    packed = packed.repartition("bucket").sortWithinPartitions("bucket")
-    found = staged(packed.mapInArrow(_repeated, "hash bigint, id bigint, tie bigint, pos int"))
-    frequent = found.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")  # of a few hashes
-    frequent = frequent.select("hash", F.ceil(F.col("n") / HOT).cast("int").alias("m"), every)
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int"))
-    cell = F.when(F.col("m").isNull(), -1).otherwise(F.pmod(F.xxhash64("pos", "id", "tie"), F.col("m"))).cast("int")
-    sized = salted.join(frequent, ["hash", "salt"], "left").withColumn("cell", cell)
-    lists = sized.groupBy("id", "tie").agg(F.collect_list(F.struct("pos", "hash", "cell")).alias("found"))
-    lists = lists.join(copies, ["id", "tie"], "left_anti")
-    taken = pool.join(lists.hint("shuffle_hash"), ["id", "tie"])
-    spread = taken.select("id", "tie", "text", "found").mapInArrow(
-        _stretches(width), "hash bigint, cell int, id bigint, tie bigint, lo bigint, bytes binary"
-    )
-    spread = spread.repartition("hash", "cell").sortWithinPartitions("hash", "cell")
-    out = staged(
-        spread.mapInArrow(
-            _blocks(width),
-            "id bigint, tie bigint, start bigint, end bigint, h1 bigint, h2 bigint, sure boolean",
+    with shuffles_removed(docs.sparkSession):  # a step's shuffles are as large as the texts
+        docs, facts, tied = _facts(_documents(docs, id_col, text_col))
+        total, rows = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
+        buckets = max(32, int(total) * 2 // ((width - GRAM + 2) * BUCKET))
+        long = F.col("n_bytes") >= width
+        first = F.min(F.struct("id", "tie")).alias("first")
+        firsts = facts.where(long).groupBy("sha").agg(first, F.count("*").alias("n")).where("n > 1")
+        later = join_unique(facts.where(long), firsts, ["sha"], "n", rows).where(F.struct("id", "tie") > F.col("first"))
+        copies = staged(later.select("id", "tie").distinct())
+
+        pool = docs.where(F.octet_length("text") >= width).select("id", "tie", "text")
+        packed = pool.mapInArrow(_find_anchors(width, buckets), "bucket int, kind int, rows binary")
+        packed = packed.repartition("bucket").sortWithinPartitions("bucket")
+        found = staged(packed.mapInArrow(_repeated, "hash bigint, id bigint, tie bigint, pos int"))
+        frequent = found.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+        frequent = staged(frequent.select("hash", F.ceil(F.col("n") / HOT).cast("int").alias("m")))
+        if frequent.count() <= FEW:  # the anchors stay where they are
+            sized = found.join(F.broadcast(frequent), "hash", "left")
+        else:
+            every = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            salted = found.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int"))
+            sized = salted.join(every.hint("merge"), ["hash", "salt"], "left")
+        cell = F.when(F.col("m").isNull(), -1).otherwise(F.pmod(F.xxhash64("pos", "id", "tie"), F.col("m"))).cast("int")
+        keys = ["id", "tie"] if tied else ["id"]  # a constant key is left out of the join, and the lists would be dealt again
+        lists = sized.withColumn("cell", cell).groupBy(*keys).agg(F.collect_list(F.struct("pos", "hash", "cell")).alias("found"))
+        lists = lists.join(copies, keys, "left_anti")
+        taken = pool.join(lists.hint("shuffle_hash"), keys)
+        spread = taken.select("id", "tie", "text", "found").mapInArrow(
+            _stretches(width), "hash bigint, cell int, id bigint, tie bigint, lo bigint, bytes binary"
+        )
+        spread = spread.repartition("hash", "cell").sortWithinPartitions("hash", "cell")
+        out = staged(
+            spread.mapInArrow(
+                _blocks(width),
+                "id bigint, tie bigint, start bigint, end bigint, h1 bigint, h2 bigint, sure boolean",
+            )
         )
-    )
     sure = out.where("sure").select("id", "tie", "start", "end")
     open_ = out.where("not sure").withColumn("at", F.struct("id", "tie", "start"))
     forget(found)
@@ -596,7 +601,8 @@ def summary(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col:
     documents, facts, copies, marks, tied = marked(docs, width, id_col, text_col)
     cut = documents.select("id", "tie", "text").join(marks.hint("shuffle_hash"), ["id", "tie"])
     done = cut.select("id", "tie", "text", "spans").mapInArrow(_apply, APPLIED).drop("kept")
-    done = staged(done)
+    with shuffles_removed(docs.sparkSession):
+        done = staged(done)
     gone = F.col("copy").isNotNull()
     rest = facts.join(done.select("id", "tie"), ["id", "tie"], "left_anti").join(
         copies.withColumn("copy", F.lit(1)), ["id", "tie"], "left"

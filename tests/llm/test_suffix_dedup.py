@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -109,3 +110,49 @@ def test_largest_id_and_none(spark):
     assert {(r.id, r.n_removed) for r in only} == {(last, 119), (5, 0)}
     with pytest.raises(TypeError):
         suffix_dedup.summary(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_shuffle_files_of_a_step_go_with_it(spark, monkeypatch):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before, set_to, staged, left = held(), spark.conf.get(name), suffix_dedup.staged, []
+
+    def noted(df):
+        out = staged(df)
+        until = time.time() + 10
+        while held() - before and time.time() < until:
+            time.sleep(0.1)
+        left.append(len(held() - before))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "staged", noted)
+    rows = corpus(5, 60)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    suffix_dedup.cleaned(df, 40)
+    assert left == [0] * 5 and spark.conf.get(name) == set_to
+    assert got(spark, rows, 40) == brute(rows, 40)
+    assert left == [0] * 11 and spark.conf.get(name) == set_to
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_frequent_anchors_by_broadcast_and_by_salts(spark, monkeypatch, few):
+    staged, plans = suffix_dedup.staged, []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df)
+
+    monkeypatch.setattr(suffix_dedup, "staged", noted)
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    monkeypatch.setattr(suffix_dedup, "FEW", few, raising=False)
+    rows = corpus(6, 60)
+    assert got(spark, rows, 40) == brute(rows, 40)
+    blocks = next(p for p in plans if "found" in p and "bytes" in p)
+    # lists, texts and stretches; anchors are dealt by salts only if too many of them are frequent
+    dealt = blocks.count("Exchange hashpartitioning(hash") + blocks.count("Exchange hashpartitioning(id")
+    assert dealt == (3 if few else 5)
+    # rows that repeat an id need the second key
+    rows = [(1, "a" * 90), (1, "b" * 90), (2, "a" * 50 + "b" * 60)]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.id, r.n_bytes, r.n_removed) for r in suffix_dedup.summary(odd, 40).collect()) == [(1, 90, 89), (1, 90, 89), (2, 110, 110)]
